@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from knotwork.session import Scratch
 
 #: nodes that one task holds while it follows chains
-FRAGMENT_ROWS = 50_000
+FRAGMENT_ROWS = 20_000
 #: children beyond which a parent draws none of them to its partition
 HOT_CHILDREN = 1_000
 
