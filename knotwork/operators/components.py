@@ -51,9 +51,9 @@ def hook_and_shortcut(scratch: Scratch, links: DataFrame) -> DataFrame:
         scratch.drop(links)
         links = fewer
         levels.append(parent)
-    scratch.drop(links)
-    if not levels:
+    if not levels:  # no links: an empty table of the right schema
         return links.select(F.col("a").alias("v"), F.col("b").alias("p"))
+    scratch.drop(links)
     # a vertex of level k may hook on at a later level
     out = levels.pop()
     while levels:
