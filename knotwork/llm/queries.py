@@ -6,9 +6,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import sql
-from knotwork.llm.grouping import compound_groups
+from knotwork.llm.assignment import assign, linked_groups
+from knotwork.llm.facts import canonical_facts
+from knotwork.llm.grouping import compound_groups, write_groups
+from knotwork.llm.overlap import contained, gram_hash, record_hits
+from knotwork.session import Scratch
 from knotwork.sources import table
 
+# The relations of the slice that problem 4 asks for.
+SLICE = ["treats_disease", "therapeutic_target_for"]
+# The splits that are held out.
+HELD_OUT = ["valid", "test"]
+_ENDS = ["head_id", "head_type", "relation", "tail_id", "tail_type"]
+
+
+def _fact_words() -> list:
+    return [F.col("head_n"), F.col("relation_n"), F.col("tail_n")]
+
+
+def _split_facts(spark: SparkSession, d: str, more: list[str] = []) -> tuple[Scratch, DataFrame]:  # noqa: B006
+    scratch = Scratch(spark, "p2")
+    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
+    edges = table(spark, d, "final_kg_edges").select("edge_id", "split_name", *_ENDS, *more).filter(F.col("split_name").isin("train", *HELD_OUT))
+    facts = canonical_facts(scratch, edges, groups, {"edge_id": F.col("edge_id"), "split_name": F.col("split_name")} | {c: F.col(c) for c in more})
+    # a fact is three words, fewer than a five-word gram: its one gram is the whole fact
+    return scratch, facts.withColumn("gram", gram_hash(F.array(*_fact_words())))
+
+
+def _hits(facts: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    key = [F.col("gram.x").alias("x"), F.col("gram.y").alias("y")]
+    held = facts.filter(F.col("split_name").isin(HELD_OUT)).select(*key, F.col("edge_id").alias("held_id"), *[F.col(c).alias(f"held_{c}") for c in extra])
+    train = facts.filter(F.col("split_name") == "train").select(*key, F.col("edge_id").alias("train_id"))
+    return record_hits(held, train, ["x", "y"])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train record and a held-out record that state the same fact."""
+    _, facts = _split_facts(spark, d)
+    return _hits(facts).select(F.least("train_id", "held_id").alias("edge_id_a"), F.greatest("train_id", "held_id").alias("edge_id_b"))
+
+
+def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Per held-out split and source: records, records that train states too, and pairs.
+
+    A record counts once for each distinct source it names; `(none)` where it names none.
+    """
+    _, facts = _split_facts(spark, d, ["source"])
+    names = F.array_distinct(F.filter(F.transform(F.split("source", r"[|;,/]"), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("", "nan", "none", "na", "n/a", "-")))
+    held = facts.filter(F.col("split_name").isin(HELD_OUT)).select(F.col("edge_id").alias("held_id"), "split_name", F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("(none)")))).alias("source"))
+    pairs = _hits(facts).groupBy("held_id").agg(F.count("*").alias("pairs"))
+    return (
+        held.join(pairs, "held_id", "left")
+        .groupBy("split_name", "source")
+        .agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    )
+
+
+def p2_text_links(spark: SparkSession, d: str) -> DataFrame:
+    """Containment of posts of one board in posts of all others, by five-word grams and 0.8 (classes of equal posts)."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "taxtalk", "valid").otherwise("train").alias("split"), F.split(F.trim(F.lower("text")), r"\s+").alias("words"))
+    links, members = contained(docs.filter("words IS NOT NULL AND words[0] <> ''"), "doc_id", "words", "split")
+    held = members.filter("split = 'valid'").select("record_id", F.col("class_x").alias("eval_x"), F.col("class_y").alias("eval_y"))
+    per = links.groupBy("eval_x", "eval_y").agg(F.count("*").alias("train_classes"), F.max("containment").alias("containment"))
+    return held.join(per, ["eval_x", "eval_y"]).select(F.col("record_id").alias("doc_id"), F.hex("eval_x").alias("class_id"), "train_classes", "containment")
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark, "p4")
+    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
+    edges = table(spark, d, "final_kg_edges").select("edge_id", *_ENDS)
+    facts = canonical_facts(scratch, edges, groups, {"edge_id": F.col("edge_id")}, SLICE)
+    return scratch.put(linked_groups(scratch, facts, "edge_id", "head_n", "tail_n"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Group of every record of the slice: the records that must share its split."""
+    return _p4(spark, d).select(F.col("record_id").alias("edge_id"), "group_id")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of every record of the slice, in the proportions of split_plan."""
+    return assign(_p4(spark, d), table(spark, d, "split_plan")).select(F.col("record_id").alias("edge_id"), "group_id", "split_name")
+
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every compound id."""
@@ -21,5 +100,5 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("groups"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_sizes": p6_sizes}
+QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p2_text_links": p2_text_links, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_sizes": p6_sizes}
 SQL = sql.SQL
