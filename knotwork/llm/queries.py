@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions.missing import is_missing, or_null, plain
 from knotwork.llm import sql
 from knotwork.llm.assignment import assign, linked_groups
 from knotwork.llm.facts import canonical_facts
 from knotwork.llm.grouping import compound_groups, write_groups
+from knotwork.llm.encode import decode, encode
+from knotwork.llm.names import NONE, resolve
 from knotwork.llm.overlap import contained, gram_hash, record_hits
+from knotwork.llm.packing import pack
+from knotwork.llm.residue import residue
+from knotwork.llm.survivor import Field, fuse, preference
 from knotwork.session import Scratch
 from knotwork.sources import table
 
@@ -89,6 +95,86 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign(_p4(spark, d), table(spark, d, "split_plan")).select(F.col("record_id").alias("edge_id"), "group_id", "split_name")
 
 
+# Evidence classes, the strongest first.
+EVIDENCE_CLASSES = ["experimental", "curated_database", "cohort_statistical", "computational", "ontology"]
+# Confidences given as words.
+CONFIDENCE_WORDS = {"high": 0.9, "medium": 0.6, "low": 0.3}
+
+
+def _strongest(col):
+    """Rank (5 is the strongest) of the strongest evidence class that a list names; null if it names none."""
+    text = F.regexp_replace(F.lower(plain(col)), r"[\s_-]+", "_")
+    out = F.when(text.rlike(rf"(^|[|;,/_]){EVIDENCE_CLASSES[0]}($|[|;,/_])"), F.lit(5))
+    for i, name in enumerate(EVIDENCE_CLASSES[1:], 1):
+        out = out.when(text.rlike(rf"(^|[|;,/_]){name}($|[|;,/_])"), F.lit(5 - i))
+    return out
+
+
+def _source_names(col):
+    """Distinct source names of a list in any notation, without words for "no value"."""
+    parts = F.transform(F.split(F.lower(plain(col)), r"[|;,/]"), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(parts, lambda x: ~x.isin("", "nan", "none", "na", "n/a", "-", "null")))
+
+
+def confidence_value(col):
+    """A confidence in [0, 1] from any notation: 0.71, 0,71, 85%, 4/5, 1e-3, high; null if it is none."""
+    text = F.regexp_replace(F.lower(plain(col)), r"\s+", "")
+    number = F.regexp_replace(text, ",", ".")
+    ratio = F.split(number, "/")
+    words = F.create_map(*[F.lit(x) for kv in CONFIDENCE_WORDS.items() for x in kv])
+    return (
+        F.when(number.rlike(r"^[0-9.]+%$"), F.regexp_replace(number, "%", "").try_cast("double") / 100)
+        .when(number.rlike(r"^[0-9.]+/[0-9.]+$"), F.try_divide(ratio[0].try_cast("double"), F.get(ratio, F.lit(1)).try_cast("double")))
+        .otherwise(F.coalesce(number.try_cast("double"), F.element_at(words, text)))
+    )
+
+
+def _repeated(spark: SparkSession, d: str) -> tuple[Scratch, DataFrame]:
+    """Records of facts stated more than once, with the fact's key (x, y) and smallest edge_id."""
+    scratch = Scratch(spark, "p5")
+    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
+    edges = table(spark, d, "final_kg_edges").select("edge_id", *_ENDS, "evidence_type", "source", "confidence", "observed_at")
+    keep = {
+        "edge_id": F.col("edge_id"),
+        "rank": _strongest(F.col("evidence_type")).cast("tinyint"),
+        "source": F.col("source"),
+        "confidence": or_null(F.col("confidence")),
+        "at": F.unix_micros(F.col("observed_at").cast("timestamp")),
+    }
+    facts = canonical_facts(scratch, edges, groups, keep).withColumn("gram", gram_hash(F.array(*_fact_words())))
+    keyed = scratch.put(facts.select(F.col("gram.x").alias("x"), F.col("gram.y").alias("y"), *keep))
+    twice = keyed.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("group_id")).filter("n > 1").drop("n")
+    return scratch, scratch.put(keyed.join(twice, ["x", "y"]).drop("x", "y"))
+
+
+def _fused(spark: SparkSession, d: str, by_rule: bool) -> DataFrame:
+    scratch, rows = _repeated(spark, d)
+    rows = rows.withColumn("names", _source_names(F.col("source")))
+    n = F.size(F.coalesce("names", F.array().cast("array<string>")))
+    classes = F.element_at(F.array(*[F.lit(c) for c in reversed(EVIDENCE_CLASSES)]), F.col("rank").cast("int"))
+    value = F.format_string("%.3f", confidence_value(F.col("confidence")))
+    fields = [
+        Field("evidence_type", F.when(F.col("rank").isNotNull(), classes), preference(F.col("rank")) if by_rule else preference()),
+        Field("source", F.when(n > 0, n), preference(n) if by_rule else preference()),
+        Field("confidence", F.when(F.col("confidence").isNotNull(), F.coalesce(value, F.lower("confidence"))), preference(0, F.coalesce("at", F.lit(-(2**63))), F.col("edge_id")) if by_rule else preference()),
+    ]
+    best, _ = fuse(scratch, rows, ["group_id"], "edge_id", F.col("at"), F.col("names"), fields if by_rule else [fields[0], fields[2]])
+    ids = rows.select("group_id").distinct()
+    return ids.join(best, "group_id", "left")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of each repeated fact, the records that evidence_type, source and confidence are taken from."""
+    best = _fused(spark, d, True)
+    of = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.col("record_id"))), F.lit(0)).cast("bigint").alias(f"{f}_from")
+    return best.groupBy("group_id").agg(of("evidence_type"), of("source"), of("confidence"))
+
+
+def p5_fused(spark: SparkSession, d: str) -> DataFrame:
+    """Of each repeated fact, the evidence class and confidence of largest posterior, by votes alone."""
+    return _fused(spark, d, False).filter("field IS NOT NULL").select("group_id", "field", "value", "record_id", F.round("posterior", 6).alias("posterior"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The group of every compound id."""
     return compound_groups(table(spark, d, "metabolite_canonical"))
@@ -100,5 +186,67 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("groups"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p2_text_links": p2_text_links, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p6_sizes": p6_sizes}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The taxon that each typed name without one means, or none."""
+    rows = table(spark, d, "microbe_name_fallback").filter(is_missing(F.col("ncbi_taxon_id"))).select("row_id", "original_id")
+    meant = resolve(rows, "original_id", table(spark, d, "taxon_names"), "ncbi_taxon_id", "name_txt")
+    return rows.join(meant, F.col("original_id") == F.col("name"), "left").select("row_id", F.coalesce("id", F.lit(NONE)).alias("ncbi_taxon_id"))
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The typed names that mean no entry, with the number of rows."""
+    rows = table(spark, d, "microbe_name_fallback").filter(is_missing(F.col("ncbi_taxon_id")))
+    return p3_found(spark, d).filter(F.col("ncbi_taxon_id") == NONE).join(rows.select("row_id", "original_id"), "row_id").groupBy("original_id").agg(F.count("*").alias("rows"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every post."""
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every post and whether decoding gives its text back."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    coded = encode(table(spark, d, "documents"), "doc_id", "text")
+    back = decode(coded, "doc_id")
+    return docs.join(back, "doc_id").join(coded.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id").select("doc_id", "n_tokens", (F.col("was") == F.col("text")).alias("same"))
+
+
+#: tokens of a training sequence
+SEQUENCE = 2_048
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The sequence and place of every post; only posts longer than a sequence are divided."""
+    sizes = encode(table(spark, d, "documents"), "doc_id", "text", ids=False)
+    return pack(sizes, "doc_id", "n_tokens", SEQUENCE).select(
+        F.col("item").alias("doc_id"), "piece", "first_token", F.col("size").alias("n_tokens"), F.col("window").alias("sequence_id"), F.col("offset").alias("position")
+    )
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences, tokens and share of room used."""
+    used = p8_packed(spark, d).filter("sequence_id IS NOT NULL").groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"))
+    return used.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.round(F.sum("n") / (F.count("*") * SEQUENCE), 4).alias("fill"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold template residue, filler or an error page in place of a post."""
+    return residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents left after the exclusion, by board."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("(none)")).alias("source"))
+    bad = p9_found(spark, d).withColumn("bad", F.lit(1))
+    return docs.join(bad, "doc_id", "left").groupBy("source").agg(F.count("*").alias("docs"), F.count("bad").alias("excluded"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in [
+        p2_found, p2_by_source, p2_text_links, p3_found, p3_unmatched, p4_found, p4_splits, p5_found, p5_fused, p6_found, p6_sizes,
+        p7_ids, p7_roundtrip, p8_packed, p8_fill, p9_found, p9_kept,
+    ]
+}
 SQL = sql.SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.plans.sqlnorm import facts_sql, id_sql
+from knotwork.plans.sqlnorm import facts_sql, id_sql, missing_sql
 
 _PAIRS = f"pairs AS (SELECT DISTINCT {id_sql('original_id')} AS a, {id_sql('canonical_id')} AS b FROM metabolite_canonical)"
 _IDS = "ids AS (SELECT a AS id FROM pairs WHERE a IS NOT NULL UNION SELECT b FROM pairs WHERE b IS NOT NULL)"
@@ -31,7 +31,20 @@ _LINKED = (
     " low AS (SELECT s.v, min(m.e) AS group_id FROM spread s JOIN mine m ON m.v = s.src GROUP BY 1)"
 )
 
+_CLASSES = ["experimental", "curated_database", "cohort_statistical", "computational", "ontology"]
+_TEXT = "regexp_replace(lower(coalesce(evidence_type, '')), '[\\s_-]+', '_', 'g')"
+_RANK = "CASE " + " ".join(f"WHEN contains({_TEXT}, '{c}') THEN {5 - i}" for i, c in enumerate(_CLASSES)) + " ELSE 0 END"
+_P5 = (
+    f"r AS (SELECT h, r, t, edge_id, {_RANK} AS rank, coalesce(len({_SOURCES}), 0) AS n, NOT {missing_sql('confidence')} AS c, coalesce(observed_at, TIMESTAMP '1900-01-01') AS at_ FROM facts)"
+    " SELECT min(edge_id) AS group_id,"
+    " coalesce(arg_max(edge_id, (rank, at_, edge_id)) FILTER (rank > 0), 0) AS evidence_type_from,"
+    " coalesce(arg_max(edge_id, (n, at_, edge_id)) FILTER (n > 0), 0) AS source_from,"
+    " coalesce(arg_max(edge_id, (at_, edge_id)) FILTER (c), 0) AS confidence_from"
+    " FROM r GROUP BY h, r, t HAVING count(*) > 1"
+)
+
 SQL = {
+    "p5_found": f"WITH RECURSIVE {canonical_sql()}, {_P5}",
     "p2_found": f"WITH RECURSIVE {canonical_sql()} SELECT least(a.edge_id, b.edge_id) AS edge_id_a, greatest(a.edge_id, b.edge_id) AS edge_id_b"
     f" FROM facts a JOIN facts b ON a.h = b.h AND a.r = b.r AND a.t = b.t WHERE a.split_name = 'train' AND b.{_HELD}",
     "p2_by_source": f"WITH RECURSIVE {canonical_sql()}, held AS (SELECT f.*, (SELECT count(*) FROM facts a WHERE a.split_name = 'train' AND a.h = f.h AND a.r = f.r AND a.t = f.t) AS n,"
