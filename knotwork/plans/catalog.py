@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import hierarchies
+from knotwork.plans import building, hierarchies
 
-MODULES = [hierarchies]
+MODULES = [hierarchies, building]
 
 
 def queries() -> dict:
