@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import building, hierarchies
+from knotwork.plans import building, hierarchies, resolving
 
-MODULES = [hierarchies, building]
+MODULES = [hierarchies, building, resolving]
 
 
 def queries() -> dict:
