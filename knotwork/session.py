@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
 _LEFT: dict[str, SparkSession] = {}
@@ -78,3 +79,11 @@ class Scratch:
         path = getattr(df, "_knotwork_path", None)
         if path:
             _delete(self.spark, path)
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """The table marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled join).
+
+    For tables of ``Scratch``: their count is read from the file footers.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
