@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import building, hierarchies, resolving
+from knotwork.plans import auditing, building, hierarchies, resolving, splitting
 
-MODULES = [hierarchies, building, resolving]
+MODULES = [hierarchies, building, resolving, splitting, auditing]
 
 
 def queries() -> dict:
