@@ -1,8 +1,9 @@
 """Facts of the edge table over canonical nodes.
 
 Compounds go by their group's id (problem 6), all other nodes by their normal
-form.  The normal forms are written once; then only rows with a compound are
-shuffled to the group table, each once (the few with two compounds twice).
+form.  The normal forms are written once.  The group table is broadcast while it
+is small; beyond that only rows with a compound are shuffled to it, each once
+(the few with two compounds twice).
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.ids import fact_columns, is_compound
-from knotwork.session import Scratch
+from knotwork.session import Scratch, if_small
+
+#: rows of the group table up to which it is broadcast (two short ids each)
+GROUP_ROWS = 250_000
 
 
 def _named(df: DataFrame, groups: DataFrame, end: str) -> DataFrame:
@@ -28,6 +32,7 @@ def canonical_facts(scratch: Scratch, edges: DataFrame, groups: DataFrame, keep:
     if relations:
         facts = facts.filter(F.col("relation_n").isin(relations))
     written = scratch.put(facts.select(*[c.alias(k) for k, c in keep.items()], "relation_n", "head_n", "tail_n", is_compound(F.col("head_n")).alias("__h"), is_compound(F.col("tail_n")).alias("__t")))
+    groups = if_small(groups, GROUP_ROWS)
     none = written.filter("NOT __h AND NOT __t")
     both = _named(_named(written.filter("__h AND __t"), groups, "head_n"), groups, "tail_n")
     single = written.filter("__h <> __t").withColumn("__k", F.when(F.col("__h"), F.col("head_n")).otherwise(F.col("tail_n")))

@@ -16,7 +16,7 @@ from knotwork.llm.overlap import contained, gram_hash, record_hits
 from knotwork.llm.packing import pack
 from knotwork.llm.residue import residue
 from knotwork.llm.survivor import Field, fuse, preference
-from knotwork.session import Scratch
+from knotwork.session import Scratch, if_small
 from knotwork.sources import table
 
 # The relations of the slice that problem 4 asks for.
@@ -103,10 +103,10 @@ CONFIDENCE_WORDS = {"high": 0.9, "medium": 0.6, "low": 0.3}
 
 def _strongest(col):
     """Rank (5 is the strongest) of the strongest evidence class that a list names; null if it names none."""
-    text = F.regexp_replace(F.lower(plain(col)), r"[\s_-]+", "_")
-    out = F.when(text.rlike(rf"(^|[|;,/_]){EVIDENCE_CLASSES[0]}($|[|;,/_])"), F.lit(5))
+    text = F.translate(F.lower(plain(col)), " -", "__")
+    out = F.when(F.contains(text, F.lit(EVIDENCE_CLASSES[0])), F.lit(5))
     for i, name in enumerate(EVIDENCE_CLASSES[1:], 1):
-        out = out.when(text.rlike(rf"(^|[|;,/_]){name}($|[|;,/_])"), F.lit(5 - i))
+        out = out.when(F.contains(text, F.lit(name)), F.lit(5 - i))
     return out
 
 
@@ -129,22 +129,26 @@ def confidence_value(col):
     )
 
 
+#: repeated facts, and their records, up to which they are broadcast (a few numbers each)
+REPEATED_FACTS, REPEATED_ROWS = 500_000, 1_000_000
+
+
 def _repeated(spark: SparkSession, d: str) -> tuple[Scratch, DataFrame]:
-    """Records of facts stated more than once, with the fact's key (x, y) and smallest edge_id."""
+    """Records of facts stated more than once, with the fact's smallest edge_id.
+
+    Only keys travel until the repeated facts are known; then their records'
+    attributes are fetched.
+    """
     scratch = Scratch(spark, "p5")
     groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
-    edges = table(spark, d, "final_kg_edges").select("edge_id", *_ENDS, "evidence_type", "source", "confidence", "observed_at")
-    keep = {
-        "edge_id": F.col("edge_id"),
-        "rank": _strongest(F.col("evidence_type")).cast("tinyint"),
-        "source": F.col("source"),
-        "confidence": or_null(F.col("confidence")),
-        "at": F.unix_micros(F.col("observed_at").cast("timestamp")),
-    }
-    facts = canonical_facts(scratch, edges, groups, keep).withColumn("gram", gram_hash(F.array(*_fact_words())))
-    keyed = scratch.put(facts.select(F.col("gram.x").alias("x"), F.col("gram.y").alias("y"), *keep))
-    twice = keyed.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("group_id")).filter("n > 1").drop("n")
-    return scratch, scratch.put(keyed.join(twice, ["x", "y"]).drop("x", "y"))
+    edges = table(spark, d, "final_kg_edges")
+    facts = canonical_facts(scratch, edges.select("edge_id", *_ENDS), groups, {"edge_id": F.col("edge_id")}).withColumn("gram", gram_hash(F.array(*_fact_words())))
+    keyed = scratch.put(facts.select(F.col("gram.x").alias("x"), F.col("gram.y").alias("y"), "edge_id"))
+    twice = scratch.put(keyed.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("group_id")).filter("n > 1").drop("n"))
+    ids = scratch.put(keyed.join(if_small(twice, REPEATED_FACTS), ["x", "y"]).select("edge_id", "group_id"))
+    attributes = edges.select("edge_id", "evidence_type", "source", "confidence", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"))
+    rows = attributes.join(if_small(ids, REPEATED_ROWS), "edge_id")
+    return scratch, scratch.put(rows.select("edge_id", "group_id", _strongest(F.col("evidence_type")).cast("tinyint").alias("rank"), "source", or_null(F.col("confidence")).alias("confidence"), "at"))
 
 
 def _fused(spark: SparkSession, d: str, by_rule: bool) -> DataFrame:
