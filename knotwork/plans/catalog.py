@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import auditing, building, hierarchies, resolving, splitting
+from knotwork.plans import auditing, building, hierarchies, resolving, scoring, splitting
 
-MODULES = [hierarchies, building, resolving, splitting, auditing]
+MODULES = [hierarchies, building, resolving, splitting, auditing, scoring]
 
 
 def queries() -> dict:
