@@ -31,6 +31,7 @@ RULES = [
     (rf"^(?i:UNMAPPED{_SEP})+(.+)$", "UNMAPPED:$1"),
 ]
 _HGNC = r"^(?i)[^A-Z]*H[^A-Z]*G[^A-Z]*N[^A-Z]*C[^A-Z]"
+_MESH = r"^(?i)(?:[^A-Z]*M[^A-Z]*E[^A-Z]*S[^A-Z]*H[^A-Z]*)+(?=[CD])"
 _MESH_C = (rf"^(?i:MESH{_SEP})+[Cc]\s*([0-9]{{9}})$", "C$1")
 JUNK = r"^[\s\"'\[(]+|[\s\"'\]);,]+$"
 #: ids already in normal form whatever the node type
@@ -57,13 +58,21 @@ def normal_id(col: Column, disease: Column | None = None) -> Column:
     An id of no known shape keeps its cleaned text.  Each step refers to the
     one before it once, so that the generated code stays small.
     """
-    out = F.regexp_replace(plain(F.when(col.rlike(_HGNC), F.upper(col)).otherwise(col)), JUNK, "")
+    raw = F.when(col.rlike(_HGNC), F.upper(col))
     if disease is not None:
-        # one pattern that can't match where the flag is off
-        out = F.regexp_replace(out, F.when(disease, F.lit(_MESH_C[0])).otherwise(F.lit("(?!)")), F.lit(_MESH_C[1]))
-    for pattern, form in RULES:
-        out = F.regexp_replace(out, pattern, form)
-    return F.when(col.rlike(NORMAL), col).when(is_missing(col), F.lit(None)).otherwise(out)
+        # without its prefix, a C id is a disease's
+        raw = raw.when(col.rlike(_MESH) & disease, F.regexp_replace(col, _MESH, ""))
+
+    def clean(x: Column) -> Column:
+        out = F.regexp_replace(plain(x), JUNK, "")
+        for pattern, form in RULES:
+            out = F.regexp_replace(out, pattern, form)
+        return out
+
+    # the chain stands in a lambda: it is rarely needed, and unrolled into the
+    # generated code it would make methods too large for the JVM to compile
+    slow = F.transform(F.array(raw.otherwise(col)), clean)[0]
+    return F.when(col.rlike(NORMAL), col).when(is_missing(col), F.lit(None)).otherwise(slow)
 
 
 def normal_relation(col: Column) -> Column:
