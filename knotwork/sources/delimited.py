@@ -59,12 +59,12 @@ def parse_lines(lines: DataFrame, column: str, sep: str, least: int, comment: st
 
 def write_tsv(df: DataFrame, path: str) -> None:
     """A folder of tab-separated files with header, replacing what is there."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("escape", "\"").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Columns in the given order, comma separated."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", "\"").csv(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:
