@@ -1,9 +1,9 @@
 """Facts of the edge table over canonical nodes.
 
 Compounds go by their group's id (problem 6), all other nodes by their normal
-form.  The normal forms are written once.  The group table is broadcast while it
-is small; beyond that only rows with a compound are shuffled to it, each once
-(the few with two compounds twice).
+form.  While the group table is small it is broadcast and looked up in the scan.
+Beyond that the normal forms are written once, and only rows with a compound
+are shuffled to the groups, each once (the few with two compounds twice).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.ids import fact_columns, is_compound
-from knotwork.session import Scratch, if_small
+from knotwork.session import Scratch
 
 #: rows of the group table up to which it is broadcast (two short ids each)
 GROUP_ROWS = 250_000
@@ -31,12 +31,17 @@ def canonical_facts(scratch: Scratch, edges: DataFrame, groups: DataFrame, keep:
     facts = fact_columns(edges)
     if relations:
         facts = facts.filter(F.col("relation_n").isin(relations))
-    written = scratch.put(facts.select(*[c.alias(k) for k, c in keep.items()], "relation_n", "head_n", "tail_n", is_compound(F.col("head_n")).alias("__h"), is_compound(F.col("tail_n")).alias("__t")))
-    groups = if_small(groups, GROUP_ROWS)
-    none = written.filter("NOT __h AND NOT __t")
-    both = _named(_named(written.filter("__h AND __t"), groups, "head_n"), groups, "tail_n")
-    single = written.filter("__h <> __t").withColumn("__k", F.when(F.col("__h"), F.col("head_n")).otherwise(F.col("tail_n")))
-    single = _named(single, groups, "__k").withColumns({"head_n": F.when(F.col("__h"), F.col("__k")).otherwise(F.col("head_n")), "tail_n": F.when(F.col("__t"), F.col("__k")).otherwise(F.col("tail_n"))}).drop("__k")
-    out = none.unionByName(both).unionByName(single).drop("__h", "__t")
+    ends = ["relation_n", "head_n", "tail_n"]
+    if groups.count() <= GROUP_ROWS:
+        # one pass: both ends are looked up where the row is
+        small = F.broadcast(groups)
+        out = _named(_named(facts.select(*[c.alias(k) for k, c in keep.items()], *ends), small, "head_n"), small, "tail_n")
+    else:
+        written = scratch.put(facts.select(*[c.alias(k) for k, c in keep.items()], *ends, is_compound(F.col("head_n")).alias("__h"), is_compound(F.col("tail_n")).alias("__t")))
+        none = written.filter("NOT __h AND NOT __t")
+        both = _named(_named(written.filter("__h AND __t"), groups, "head_n"), groups, "tail_n")
+        single = written.filter("__h <> __t").withColumn("__k", F.when(F.col("__h"), F.col("head_n")).otherwise(F.col("tail_n")))
+        single = _named(single, groups, "__k").withColumns({"head_n": F.when(F.col("__h"), F.col("__k")).otherwise(F.col("head_n")), "tail_n": F.when(F.col("__t"), F.col("__k")).otherwise(F.col("tail_n"))}).drop("__k")
+        out = none.unionByName(both).unionByName(single).drop("__h", "__t")
     loose = F.col("relation_n") == "co_occurs_with"
     return out.withColumns({"head_n": F.when(loose, F.least("head_n", "tail_n")).otherwise(F.col("head_n")), "tail_n": F.when(loose, F.greatest("head_n", "tail_n")).otherwise(F.col("tail_n"))})
