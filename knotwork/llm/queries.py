@@ -68,13 +68,14 @@ def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p2_text_links(spark: SparkSession, d: str) -> DataFrame:
-    """Containment of posts of one board in posts of all others, by five-word grams and 0.8 (classes of equal posts)."""
-    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "taxtalk", "valid").otherwise("train").alias("split"), F.split(F.trim(F.lower("text")), r"\s+").alias("words"))
-    links, members = contained(docs.filter("words IS NOT NULL AND words[0] <> ''"), "doc_id", "words", "split")
-    held = members.filter("split = 'valid'").select("record_id", F.col("class_x").alias("eval_x"), F.col("class_y").alias("eval_y"))
-    per = links.groupBy("eval_x", "eval_y").agg(F.count("*").alias("train_classes"), F.max("containment").alias("containment"))
-    return held.join(per, ["eval_x", "eval_y"]).select(F.col("record_id").alias("doc_id"), F.hex("eval_x").alias("class_id"), "train_classes", "containment")
+def p2_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Every held-out record that train contains: its class of equal facts and the train records of the class."""
+    _, facts = _split_facts(spark, d)
+    links, members = contained(facts.select("edge_id", "split_name", F.array(*_fact_words()).alias("words")), "edge_id", "words", "split_name")
+    per = members.groupBy("class_x", "class_y").agg(F.count_if(F.col("split") == "train").alias("n"))
+    hits = links.join(per.select(F.col("class_x").alias("train_x"), F.col("class_y").alias("train_y"), "n"), ["train_x", "train_y"]).groupBy("eval_x", "eval_y").agg(F.max("containment").alias("containment"), F.sum("n").alias("train_records"))
+    held = members.filter(F.col("split").isin(HELD_OUT)).select(F.col("record_id").alias("edge_id"), F.col("class_x").alias("eval_x"), F.col("class_y").alias("eval_y"))
+    return held.join(hits, ["eval_x", "eval_y"]).select("edge_id", F.hex("eval_x").alias("class_id"), "containment", "train_records")
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +250,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        p2_found, p2_by_source, p2_text_links, p3_found, p3_unmatched, p4_found, p4_splits, p5_found, p5_fused, p6_found, p6_sizes,
+        p2_found, p2_by_source, p2_contained, p3_found, p3_unmatched, p4_found, p4_splits, p5_found, p5_fused, p6_found, p6_sizes,
         p7_ids, p7_roundtrip, p8_packed, p8_fill, p9_found, p9_kept,
     ]
 }
