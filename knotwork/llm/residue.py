@@ -45,12 +45,12 @@ _INLINE = regex.compile(r"`[^`\n]*`")
 _QUOTES = [
     regex.compile(r"\[quote[^\]\n]*\](?:(?!\[quote).)*?(?:\[/quote\]|\Z)", _I | regex.DOTALL),
     regex.compile(r"<blockquote[^>]*>(?:(?!<blockquote).)*?(?:</blockquote>|\Z)", _I | regex.DOTALL),
-    regex.compile(r"^\W*-{3,}\s*Original.*\Z", _I | regex.DOTALL | regex.MULTILINE),
+    regex.compile(r"(?<!-)(?=-{3,}+\s*+Original)(?<=^\W*).*\Z", _I | regex.DOTALL | regex.MULTILINE),
     regex.compile(r"^[^\n]{1,60}\bwrote:[^\S\n]*\x1f*\n(?=\s*\x1f*\s*>)", _I | regex.MULTILINE),
     regex.compile(r"^[^\S\n]*\x1f*[^\S\n]*>[^\n]*$", regex.MULTILINE),
 ]
 _SIZED = regex.compile(r"\[/?(?:size|color)(?:=[^\]\n]*)?\]", _I)
-_SIGNATURE = regex.compile(r"\n\s*(?:--+|~{3,}|_{3,}|\*{3,}|={3,})[^\S\n]*\n(?:[^\n]*\n?){0,4}\s*\Z|\n\s*\[size=1\][^\n]*\Z|\n\s*(?:cheers|regards|best|thanks|gr[uü]ße|saludos|cordialement),?[^\S\n]*\n[^\S\n]*[\p{L}\d_.-]+\s*\Z", _I)
+_SIGNATURE = regex.compile(r"(?<!\s)[^\S\n]*+\n\s*+(?:(?:--+|~{3,}|_{3,}|\*{3,}|={3,})[^\S\n]*\n(?:[^\n]*+\n?){0,4}\s*\Z|\[size=1\][^\n]*\Z|(?:cheers|regards|best|thanks|gr[uü]ße|saludos|cordialement),?[^\S\n]*\n[^\S\n]*[\p{L}\d_.-]+\s*\Z)", _I)
 _FURNITURE = regex.compile(r"\b(?:home|boards?|search|contact|login|register|help|faq|top)(?:\s*[|·»/]\s*(?:home|boards?|search|contact|login|register|help|faq|imprint|privacy|top))+\b", _I)
 _INVISIBLE = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 
@@ -145,11 +145,6 @@ _NOTICE = _any(
 )
 
 _SENTENCE = regex.compile(r"(?<=[.!?…:。！？])\s+|(?<=[。！？])|(?<=[.!?…:)}])(?=[\p{Lu}\[{<])|\n+|(?<=[a-z]{3}\.)(?=\d)")
-_HINT = _any(
-    r"[{<\[%$#@~_]{1,2}[\s\p{L}]", "lorem|ipsum|orbis|sendri|pallor|fugat|tamen", "here|dummy|blindtext|platzhalter|ejemplo|exemple|exemplo|insert|your |placeholder|tbd|todo|xxx|asd|qwer|заполн|текст|введите|здесь|замените|ダミー|サンプル|ここに|仮の|差し替",
-    "script|スクリプト|скрипт|javascript|loading|browser", "error|erreur|fehler|erro|ошибк|エラー|found|forbidden|gateway|server|serv[ei]|сервер|サーバー|gefunden|introuvable|encontrad|найден|見つかり|load|expired|busy|blocked|retry|again|denied|permission|traceback|warning|memory|expir|gone|available|indispon|wartung|しばらく|ません|reach",
-    "supplied|layout|description|headline|disponi|aviso|hinweis|attention|intent|recharg|skript|einschalt|follow|sample|edit or delete|characters",
-)
 
 
 def own_text(text: str) -> tuple[str, bool]:
@@ -159,11 +154,10 @@ def own_text(text: str) -> tuple[str, bool]:
     t = _BB.sub("", _HTML.sub(BREAK, t))
     quoted = False
     for q in _QUOTES:
-        for _ in range(6):
+        n = 1
+        while n:  # one level of nesting a round
             t, n = q.subn("\n", t)
             quoted |= n > 0
-            if not n:
-                break
     t = t.replace(BREAK, "\n")
     t = _CODE.sub("\nCODE CODE CODE CODE\n", t)
     t = _INLINE.sub(" CODE ", t)
@@ -177,8 +171,8 @@ def own_text(text: str) -> tuple[str, bool]:
 BREAK = "\x1f"
 #: stands for a placeholder in the cleaned text
 FIELD = "\u27e6\u27e7"
-_JSON = regex.compile(r"\{\s*\"(?:error|status|code|message)\"[^\n]{0,400}?\}(?:\s*\})?", _I)
-_TRACE = regex.compile(r"traceback \(most recent call last\)[^\n]*\n(?:[^\S\n]+[^\n]*\n){1,12}[^\n]*", _I)
+_JSON = regex.compile(r"\{\s*\"(?:error|status|code|message)\"[^\n}]*+\}(?:\s*\})?", _I)
+_TRACE = regex.compile(r"traceback \(most recent call last\)[^\n]*\n(?:[^\S\n]+[^\n]*\n)+[^\n]*", _I)
 _LABEL = regex.compile(r"^\W*(?:re|topic|subject|scope|summary|notice|note|attention|hinweis|achtung|aviso|atenção|atención|внимание|request id|inc on line \d+|[0-9a-f]*\d[0-9a-f]*\)?|h\))\s*[:).]?\W*$", _I)
 
 
@@ -205,7 +199,7 @@ def is_residue_sentence(s: str) -> bool | None:
 
 def density(text: str | None) -> float:
     """Share of residue among the letters of the author's own text; 0 for null, blank or purely quoted text."""
-    if not text or (len(text) > 1_500 and not _HINT.search(text)):
+    if not text:
         return 0.0
     body, _ = own_text(text)
     bad = good = 0.0

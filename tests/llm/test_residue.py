@@ -36,3 +36,20 @@ def test_operator(spark):
     got = sorted(r["k"] for r in residue(df, "k", "body").collect())
     assert got == [*range(len(BAD)), len(rows) - 1]
     assert residue(df.limit(0), "k", "body").count() == 0
+
+
+LATIN = "Duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident. "
+
+
+@pytest.mark.parametrize("text", ["bla ", "test ", "foo ", "abc ", LATIN, "Texto de relleno. ", "Texte factice. ", "TBD ", "Dear {name}. ", "Internal server error. ", "Доступ запрещён. ", "Please enable JavaScript to read this. "])
+def test_long_residue(text):
+    assert density(text * 3) >= DENSITY
+    assert density(text * (4_000 // len(text))) >= DENSITY
+
+
+def test_deep_quotes_and_long_traces():
+    nested = "[quote=a]" * 9 + LATIN + "[/quote]" * 9 + "\nThe tree is fine as it is."
+    assert density(nested) == 0.0
+    trace = "Traceback (most recent call last):\n" + '  File "/srv/board/post.py", line 9, in render\n    value = posts[number].render(reader)\n' * 20 + "KeyError: 'body'"
+    assert density(trace) == 1.0
+    assert density('{"error": "' + "no such record, ask again. " * 40 + '"}') == 1.0
