@@ -72,11 +72,17 @@ def random_scores(pairs: DataFrame, seed: int = 42) -> DataFrame:
 SCORERS = {"CN": common_neighbours, "RA": resource_allocation, "L3": l3}
 
 
-def row_scores(queries: DataFrame, adjacency: DataFrame, kind: str = "RA") -> DataFrame:
-    """``q, c, s``: all candidates that a query node reaches over two steps, with CN or RA score above 0."""
+def row_scores(queries: DataFrame, adjacency: DataFrame, kind: str = "RA", pool: DataFrame | None = None) -> DataFrame:
+    """``q, c, s``: all candidates that a query node reaches over two steps, with CN or RA score above 0.
+
+    With ``pool`` (column ``c``) only its nodes are reached; degrees are those of the whole graph.
+    """
     weight = with_degree(adjacency).select(F.col("node").alias("b"), (F.lit(1.0) if kind == "CN" else 1.0 / F.col("deg")).alias("w"))
     one = queries.select("q").distinct().join(adjacency, F.col("q") == F.col("a")).select("q", "b").join(weight, "b").select("q", F.col("b").alias("mid"), "w")
-    return one.join(adjacency.select(F.col("a").alias("mid"), F.col("b").alias("c")), "mid").groupBy("q", "c").agg(F.round(F.sum("w"), 9).alias("s"))
+    two = adjacency.select(F.col("a").alias("mid"), F.col("b").alias("c"))
+    if pool is not None:
+        two = two.join(pool.select("c").distinct(), "c", "left_semi")
+    return one.join(two, "mid").groupBy("q", "c").agg(F.round(F.sum("w"), 9).alias("s"))
 
 
 def filtered_ranks(test: DataFrame, known: DataFrame, pool: DataFrame, scores: DataFrame) -> DataFrame:

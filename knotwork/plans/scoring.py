@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from knotwork.operators.build import degrees
 from knotwork.operators.ranking import hash_rank
 from knotwork.operators.splits import of, without_triples
 from knotwork.plans.common import kg, with_kg
-from knotwork.plans.splitting import TRANS, transductive
+from knotwork.plans.splitting import ASSOCIATIONS, TRANS, transductive
+from knotwork.session import Scratch
 from knotwork.sources import table
 
 QUERIES, SQL = {}, {}
+# The graph of the SQL oracles.  The full graphs are too dense for SQL on whole tables; their queries have the suffix of the scope.
 GRAPH = ["enriched_in", "depleted_in", "treats_disease", "is_a", "is_strain_of", "belongs_to_genus", "utilizes"]
+AUX = ["is_strain_of", "is_clade_of", "belongs_to_genus", "belongs_to_family", "belongs_to_order", "belongs_to_class", "belongs_to_phylum", "is_a", "co_occurs_with"]
 _IN = "('" + "', '".join(GRAPH) + "')"
 
 
@@ -30,10 +35,28 @@ def query(sql: str | None):
     return add
 
 
-def _graph(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train edges, test pairs h, t of enriched_in and depleted_in)."""
+def _edges(spark: SparkSession, d: str, scope: str) -> DataFrame:
+    """The merged edges; written once for the full graphs, whose plans would merge them at every use."""
+    e = kg(spark, d)
+    return e if scope == "oracle" else Scratch(spark, "edges").put(e.select("head_id", "relation", "tail_id"))
+
+
+def _folds(e: DataFrame, scope: str) -> DataFrame:
     t = transductive(e)
-    train = without_triples(of(e, *GRAPH), t.filter("fold <> 'train'"))
+    return t if scope == "oracle" else Scratch(e.sparkSession, "folds").put(t.select("head_id", "relation", "tail_id", "fold"))
+
+
+def _graph(e: DataFrame, scope: str = "oracle") -> tuple[DataFrame, DataFrame]:
+    """(train edges, test pairs h, t of enriched_in and depleted_in).
+
+    ``scope``: ``oracle`` has the relations of GRAPH, ``aux`` the associations,
+    the taxonomy, is_a and co_occurs_with, ``bridges`` every relation.
+    """
+    t = _folds(e, scope)
+    edges = {"oracle": lambda: of(e, *GRAPH), "aux": lambda: of(e, *ASSOCIATIONS, *AUX), "bridges": lambda: e}[scope]()
+    train = without_triples(edges, t.filter("fold <> 'train'"))
+    if scope != "oracle":
+        train = Scratch(e.sparkSession, "graph").put(train)
     return train, of(t.filter("fold = 'test'"), "enriched_in", "depleted_in").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct()
 
 
@@ -46,14 +69,14 @@ _MID = "mid AS (SELECT h, t, x.b AS m FROM pairs JOIN adj x ON x.a = h JOIN adj
 
 
 @query(with_kg(f"{_G}, {_MID} SELECT h AS head, t AS tail, count(m) AS cn FROM pairs LEFT JOIN mid USING (h, t) GROUP BY 1, 2"))
-def structural_cn(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs = _graph(kg(spark, d))
+def structural_cn(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    train, pairs = _graph(_edges(spark, d, scope), scope)
     return S.common_neighbours(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), "cn")
 
 
 @query(with_kg(f"{_G}, {_MID} SELECT h AS head, t AS tail, round(coalesce(sum(1.0::DOUBLE / d), 0), 6) AS ra FROM pairs LEFT JOIN mid USING (h, t) LEFT JOIN deg ON node = m GROUP BY 1, 2"))
-def structural_ra(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs = _graph(kg(spark, d))
+def structural_ra(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    train, pairs = _graph(_edges(spark, d, scope), scope)
     return S.resource_allocation(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("ra", 6).alias("ra"))
 
 
@@ -61,14 +84,14 @@ _L3 = "w2 AS (SELECT h, y.b AS y, sum(1.0::DOUBLE / sqrt(d)) AS w FROM (SELECT D
 
 
 @query(with_kg(f"{_G}, {_L3} SELECT h AS head, t AS tail, round(coalesce(s, 0), 6) AS l3 FROM pairs LEFT JOIN l3 USING (h, t)"))
-def structural_l3(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs = _graph(kg(spark, d))
+def structural_l3(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    train, pairs = _graph(_edges(spark, d, scope), scope)
     return S.l3(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("l3", 6).alias("l3"))
 
 
 @query(with_kg(f"{_G}, dm AS (SELECT n, count(*) AS k FROM (SELECT head_id AS n FROM g UNION ALL SELECT tail_id FROM g) GROUP BY 1) SELECT h AS head, t AS tail, coalesce(k, 0) AS score FROM pairs LEFT JOIN dm ON n = t"))
-def popularity(spark: SparkSession, d: str) -> DataFrame:
-    train, pairs = _graph(kg(spark, d))
+def popularity(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    train, pairs = _graph(_edges(spark, d, scope), scope)
     return S.popularity(pairs, degrees(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), "score")
 
 
@@ -89,9 +112,9 @@ def random_floor(spark: SparkSession, d: str) -> DataFrame:
         " round(avg(CASE WHEN coalesce(cn, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS cn_pos, round(avg(CASE WHEN coalesce(l3.s, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS l3_pos FROM pairs2 LEFT JOIN m2 USING (h, t) LEFT JOIN l3 USING (h, t)"
     )
 )
-def heuristic_viability(spark: SparkSession, d: str) -> DataFrame:
+def heuristic_viability(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
     """Share of a sample of 300 test pairs whose ends are in the graph and whose scores are above 0."""
-    train, pairs = _graph(kg(spark, d))
+    train, pairs = _graph(_edges(spark, d, scope), scope)
     adj = symmetric(train)
     some = hash_rank(pairs, ["h", "t"]).filter("rk <= 300").select("h", "t")
     deg = S.with_degree(adj)
@@ -111,24 +134,30 @@ _RANK = (
 )
 
 
-def _ranks(e: DataFrame, relations: list[str] | None = None) -> DataFrame:
+def _ranks(e: DataFrame, relations: list[str] | None = None, scope: str = "oracle") -> DataFrame:
     """side, q, target, rank of the test pairs under RA."""
-    t = of(transductive(e), "enriched_in", "depleted_in")
-    train, pairs = _graph(e)
+    t = of(_folds(e, scope), "enriched_in", "depleted_in")
+    train, pairs = _graph(e, scope)
     adj = symmetric(of(train, *relations) if relations else train)
+    if scope != "oracle":
+        scratch = Scratch(e.sparkSession, "ranks")
+        t, pairs, adj = scratch.put(t), scratch.put(pairs), scratch.put(adj)
     known = t.select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct()
     out = None
     for side, q, c in (("tail", "h", "t"), ("head", "t", "h")):
         ask = pairs.select(F.col(q).alias("q"), F.col(c).alias("target"))
         k = known.select(F.col(q).alias("q"), F.col(c).alias("c"))
-        ranks = S.filtered_ranks(ask, k, k.select("c").distinct(), S.row_scores(ask, adj)).withColumn("side", F.lit(side))
+        scores = S.row_scores(ask, adj, pool=None if scope == "oracle" else k)
+        if scope != "oracle":
+            scores = Scratch(e.sparkSession, "scores").put(scores)
+        ranks = S.filtered_ranks(ask, k, k.select("c").distinct(), scores).withColumn("side", F.lit(side))
         out = ranks if out is None else out.unionByName(ranks)
     return out.select("side", "q", "target", "rank")
 
 
 @query(with_kg(f"{_G}, {_RANK} SELECT side, q AS query, target, CAST(rank AS DOUBLE) AS rank FROM fr"))
-def filtered_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _ranks(kg(spark, d)).withColumnRenamed("q", "query")
+def filtered_rank(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    return _ranks(_edges(spark, d, scope), scope=scope).withColumnRenamed("q", "query")
 
 
 def _block_sql(src: str) -> str:
@@ -143,16 +172,17 @@ def _block_sql(src: str) -> str:
 
 
 @query(with_kg(f"{_G}, {_RANK}, {_block_sql('fr')}"))
-def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return M.rank_block(_ranks(kg(spark, d)).withColumnRenamed("q", "group_id"))
+def rank_metrics(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    return M.rank_block(_ranks(_edges(spark, d, scope), scope=scope).withColumnRenamed("q", "group_id"))
 
 
 _POSNEG = f"{_G}, neg AS (SELECT DISTINCT head_id AS h, tail_id AS t FROM kg WHERE relation = 'inconsistent_association' EXCEPT SELECT h, t FROM pairs), pn AS (SELECT h, t, TRUE AS positive FROM pairs UNION ALL SELECT h, t, FALSE FROM neg), sp AS (SELECT pn.*, round(coalesce((SELECT sum(1.0::DOUBLE / d) FROM adj x JOIN adj y ON y.a = x.b JOIN deg ON node = x.b WHERE x.a = pn.h AND y.b = pn.t), 0), 9) AS score FROM pn)"
 
 
-def _scored(e: DataFrame) -> DataFrame:
-    train, pairs = _graph(e)
-    neg = of(e, "inconsistent_association").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct().join(pairs, ["h", "t"], "left_anti")
+def _scored(e: DataFrame, scope: str = "oracle") -> DataFrame:
+    train, pairs = _graph(e, scope)
+    # the full graphs hold the inconsistent associations of train: only the others are negatives there
+    neg = of(e if scope == "oracle" else _folds(e, scope).filter("fold <> 'train'"), "inconsistent_association").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct().join(pairs, ["h", "t"], "left_anti")
     every = pairs.withColumn("positive", F.lit(True)).unionByName(neg.withColumn("positive", F.lit(False)))
     return every.join(S.resource_allocation(every, symmetric(train)), ["h", "t"]).select("h", "t", "positive", F.round("ra", 9).alias("score"))
 
@@ -170,8 +200,8 @@ def _auc_sql(src: str, by: str = "") -> str:
 
 
 @query(with_kg(f"{_POSNEG}, {_auc_sql('sp')} SELECT * FROM au"))
-def auc(spark: SparkSession, d: str) -> DataFrame:
-    return M.auc_block(_scored(kg(spark, d)))
+def auc(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    return M.auc_block(_scored(_edges(spark, d, scope), scope))
 
 
 _BOOT = "bv AS (SELECT row_number() OVER (ORDER BY md5('42|' || side || '|' || q || '|' || target)) AS rk, count(*) OVER () AS n, CAST(rank AS DOUBLE) AS rank FROM fr)"
@@ -179,8 +209,8 @@ _DRAW = "dr AS (SELECT b, CAST(('0x' || substr(md5('42|' || b || '|' || rk), 1,
 
 
 @query(with_kg(f"{_G}, {_RANK}, {_BOOT}, {_DRAW}, pb AS (SELECT b, avg(1.0 / rank) AS m FROM dr JOIN bv USING (rk) GROUP BY 1) SELECT 'mrr' AS metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM pb"))
-def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return M.bootstrap(hash_rank(_ranks(kg(spark, d)), ["side", "q", "target"]), 50)
+def bootstrap(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    return M.bootstrap(hash_rank(_ranks(_edges(spark, d, scope), scope=scope), ["side", "q", "target"]), 50)
 
 
 _RATIOS = [0.5, 1.0, 2.0, 5.0, 10.0]
@@ -191,9 +221,9 @@ _SWEEP = (
 
 
 @query(with_kg(f"{_SWEEP}, {_auc_sql('kp', 'ratio')} SELECT ratio, n_pos, n_neg, auprc, auroc FROM au WHERE n_pos >= 5"))
-def ratio_sweep(spark: SparkSession, d: str) -> DataFrame:
+def ratio_sweep(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
     """Metrics at fixed negatives per positive, both sides cut in hash order; at least 5 positives."""
-    ranked = hash_rank(_scored(kg(spark, d)), ["h", "t"], within=["positive"])
+    ranked = hash_rank(_scored(_edges(spark, d, scope), scope), ["h", "t"], within=["positive"])
     n = F.max(F.when(F.col("positive"), F.col("n")))
     sizes = ranked.groupBy().agg(F.coalesce(n, F.lit(0)).alias("np"), F.coalesce(F.max(F.when(~F.col("positive"), F.col("n"))), F.lit(0)).alias("nn")).first()  # two numbers
     np_, nn = sizes["np"], sizes["nn"]
@@ -215,12 +245,28 @@ _ABL = (
 @query(with_kg(f"{_ABL} SELECT 'RA' AS scorer, round(f0.m, 6) AS mrr_only, round(f1.m, 6) AS mrr_bridge, round(f1.m - f0.m, 6) AS delta FROM f0, f1"))
 def ablation_delta(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
+    return _delta(_ranks(e, ONLY), _ranks(e))
+
+
+def _delta(only: DataFrame, bridge: DataFrame) -> DataFrame:
     tag = lambda df, name: df.select(F.lit("RA").alias("scorer"), F.lit(name).alias("k"), (1.0 / F.col("rank")).alias("m"))
-    both = tag(_ranks(e, ONLY), "only").unionByName(tag(_ranks(e), "bridge"))
+    both = tag(only, "only").unionByName(tag(bridge, "bridge"))
     per = both.groupBy("scorer").agg(F.avg(F.when(F.col("k") == "only", F.col("m"))).alias("a"), F.avg(F.when(F.col("k") == "bridge", F.col("m"))).alias("b"))
     return per.select("scorer", F.round("a", 6).alias("mrr_only"), F.round("b", 6).alias("mrr_bridge"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
 
 
+@query(None)
+def ablation_delta_full(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of associations and AUX against the same with every bridge relation."""
+    e = _edges(spark, d, "bridges")
+    return _delta(_ranks(e, scope="aux"), _ranks(e, scope="bridges"))
+
+
+for _f in (structural_cn, structural_ra, structural_l3, popularity, heuristic_viability, filtered_rank, rank_metrics, auc, bootstrap, ratio_sweep):
+    for _s in ("aux", "bridges"):
+        QUERIES[f"{_f.__name__}_{_s}"] = partial(_f, scope=_s)
+
+
 _CELLS = "cells AS (SELECT s.setting, m.scorer FROM (SELECT unnest(['transductive', 'cold']) AS setting) s, (SELECT unnest(['RA', 'L3']) AS scorer) m)"
 
 
