@@ -58,3 +58,17 @@ def test_ablation_of_bridges(spark, graph):
         ranks = [r["rank"] for r in catalog.queries()[f"filtered_rank_{scope}"](spark, graph).collect()]
         assert got[column] == pytest.approx(sum(1 / r for r in ranks) / len(ranks), abs=2e-6)
     assert got["mrr_only"] != got["mrr_bridge"]
+
+
+def test_components_of_every_relation(spark, graph):
+    label = {}
+    edges = [(r["head_id"], r["tail_id"]) for r in kg(spark, graph).collect()]
+    for h, t in edges:
+        label.setdefault(h, h), label.setdefault(t, t)
+    for _ in label:
+        for h, t in edges:
+            label[h] = label[t] = min(label[h], label[t])
+    sizes = {}
+    for c in label.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert {r["component"]: r["size"] for r in catalog.queries()["components_all"](spark, graph).collect()} == sizes
