@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators import audit as A
-from knotwork.operators.splits import of
+from knotwork.operators.splits import RANKS, of
 from knotwork.plans.common import kg, with_kg
 from knotwork.plans.splitting import MEDIATORS, TRANS, mediators, transductive
+from knotwork.session import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -101,6 +102,45 @@ def leakage_free(spark: SparkSession, d: str) -> DataFrame:
     return every.groupBy("file").agg(F.count_if(F.col("c") == "before").alias("n_before"), F.count_if(F.col("c") == "after").alias("n_after"))
 
 
+# The microbe taxonomy.
+TAXONOMY = ["is_strain_of", "is_clade_of", *[f"belongs_to_{r}" for r in RANKS]]
+
+
+def closures(e: DataFrame) -> dict[str, DataFrame]:
+    """The neighbours of each end: the whole taxonomy for heads, is_a between diseases for tails."""
+    return {"head": A.symmetric(of(e, *TAXONOMY)), "tail": A.symmetric(of(e, "is_a").filter("head_type = 'disease' AND tail_type = 'disease'"))}
+
+
+def _written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all edges, associations with fold, train, test), written once: both ends use them again."""
+    scratch = Scratch(spark, "audit")
+    e = scratch.put(kg(spark, d).select("head_id", "head_type", "relation", "tail_id", "tail_type"))
+    t = scratch.put(transductive(e))
+    return e, t, t.filter("fold = 'train'"), t.filter("fold = 'test'")
+
+
+@query(None)
+def leak_closure_full(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks of both ends, over every rank and over the disease ontology."""
+    e, _, train, test = _written(spark, d)
+    leaks = [A.closure_leak(test, train, adj, end, 2).select(F.lit(end).alias("side"), "hop") for end, adj in closures(e).items()]
+    return leaks[0].unionByName(leaks[1]).groupBy("side", "hop").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def leakage_free_full(spark: SparkSession, d: str) -> DataFrame:
+    """Rows before and after the leaks of both ends over one hop are taken out."""
+    e, t, train, test = _written(spark, d)
+    hard = of(e, "does_not_utilize").select("head_id", "tail_id").unionByName(of(t, "inconsistent_association").select("head_id", "tail_id"))
+    near = closures(e)
+    tr, te = A.leakage_free(train, test, hard, near["head"], ["enriched_in", "depleted_in"])
+    by_tail = A.closure_leak(test, tr, near["tail"], "tail", 1).select("head_id", "relation", "tail_id")
+    te = te.join(by_tail, ["head_id", "relation", "tail_id"], "left_anti")
+    tag = lambda df, f, c: df.select(F.lit(f).alias("file"), F.lit(c).alias("c"))
+    every = tag(train, "train", "before").unionByName(tag(tr, "train", "after")).unionByName(tag(test, "test", "before")).unionByName(tag(te, "test", "after"))
+    return every.groupBy("file").agg(F.count_if(F.col("c") == "before").alias("n_before"), F.count_if(F.col("c") == "after").alias("n_after"))
+
+
 # paths from a microbe to a disease: over a metabolite it makes or uses, and over a gene that metabolite regulates
 _PATHS = (
     "tg AS (SELECT DISTINCT head_id AS x, tail_id AS z FROM kg WHERE relation IN ('enriched_in', 'depleted_in')), mm AS (SELECT DISTINCT head_id AS x, tail_id AS y FROM kg WHERE relation = 'produces'),"

@@ -72,3 +72,37 @@ def test_components_of_every_relation(spark, graph):
     for c in label.values():
         sizes[c] = sizes.get(c, 0) + 1
     assert {r["component"]: r["size"] for r in catalog.queries()["components_all"](spark, graph).collect()} == sizes
+
+
+def test_leaks_of_both_ends(spark, graph):
+    rows = kg(spark, graph).collect()
+    folds = transductive(kg(spark, graph)).collect()
+    train = {(r["head_id"], r["relation"], r["tail_id"]) for r in folds if r["fold"] == "train"}
+    test = {(r["head_id"], r["relation"], r["tail_id"]) for r in folds if r["fold"] == "test"}
+    want = {}
+    for side, names in (("head", [r for r in AUX if r not in ("is_a", "co_occurs_with")]), ("tail", ["is_a"])):
+        near = {}
+        for r in rows:
+            if r["relation"] in names and r["head_id"] != r["tail_id"]:
+                near.setdefault(r["head_id"], set()).add(r["tail_id"])
+                near.setdefault(r["tail_id"], set()).add(r["head_id"])
+        for h, r, t in test - train:
+            me = h if side == "head" else t
+            one = near.get(me, set())
+            two = {y for x in one for y in near[x]} - one - {me}
+            for hop, ring in ((1, one), (2, two)):
+                if any(((n, r, t) if side == "head" else (h, r, n)) in train for n in ring):
+                    want[side, hop] = want.get((side, hop), 0) + 1
+                    break
+    got = {(r["side"], r["hop"]): r["n"] for r in catalog.queries()["leak_closure_full"](spark, graph).collect()}
+    assert got == want and {s for s, _ in want} == {"head", "tail"}
+
+
+def test_leakage_free_of_both_ends(spark, tmp_path):
+    g = random.Random(1)
+    rows = [(m, "microbe", "enriched_in", d, "disease") for m in M for d in D if g.random() < 0.3]
+    near = [(D[i], "disease", "is_a", D[0], "disease") for i in range(1, len(D))]
+    test = catalog.queries()["leakage_free_full"](spark, write(spark, tmp_path / "a", rows)).filter("file = 'test'").first()
+    assert test["n_before"] == test["n_after"] > 0
+    test = catalog.queries()["leakage_free_full"](spark, write(spark, tmp_path / "b", rows + near)).filter("file = 'test'").first()
+    assert test["n_after"] < test["n_before"]
