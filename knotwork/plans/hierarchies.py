@@ -35,6 +35,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_solved(spark, d).filter("depth > 0")).select(F.col("tree").alias("relation"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"), "distance")
 
 
+def p1_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every node, nodes on circles and below them included; a path goes once round a circle."""
+    return descendants(_solved(spark, d)).select(F.col("tree").alias("relation"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"), "distance")
+
+
 _LINKS = "links AS (SELECT relation_n AS relation, head_n AS node, min(tail_n) AS parent FROM (" + facts_sql("relation_n IN ('is_a', 'is_strain_of')") + ") GROUP BY 1, 2)"
 _WALK = (
     f"WITH RECURSIVE {_LINKS}, walk AS (SELECT relation, node, parent AS cur, 1 AS steps, [node] AS seen FROM links"
@@ -48,7 +53,7 @@ _TOP = (
     " CASE WHEN cur = node THEN -1 WHEN list_contains(seen, cur) THEN -2 ELSE steps END AS depth FROM ended)"
 )
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
+QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_descendants_all": p1_descendants_all}
 SQL = {
     "p1_found": f"{_WALK}{_TOP} SELECT relation, node_id, root_id, CAST(depth AS INTEGER) AS depth FROM res",
     "p1_paths": f"{_WALK}{_TOP} SELECT relation, node_id, array_to_string(CASE WHEN cur = node_id THEN list_append(seen, node_id) WHEN ring THEN seen ELSE list_append(seen, cur) END, '>') AS path FROM res",
