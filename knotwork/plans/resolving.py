@@ -54,6 +54,13 @@ def line_parse(spark: SparkSession, d: str) -> DataFrame:
     return parse_lines(first, "line", " ", 5).select("line_id", F.col("fields")[0].alias("f1"), F.col("fields")[2].alias("f3"))
 
 
+@query(None)
+def line_parse_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document, numbered from 0."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return parse_lines(lines, "line", " ", 5).select("line_id", "line_no", F.col("fields")[0].alias("f1"), F.col("fields")[2].alias("f3"))
+
+
 @query(
     with_raw(
         "SELECT CASE WHEN regexp_extract(evidence, 'body_site=([^|]*)', 1) = '' THEN 'none' ELSE regexp_extract(evidence, 'body_site=([^|]*)', 1) END AS capture,"

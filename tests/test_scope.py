@@ -116,3 +116,10 @@ def test_descendants_below_and_on_circles(spark, tmp_path):
     assert {(n[1], n[0]), (n[2], n[0]), (n[0], n[3]), (n[1], n[3]), (n[2], n[3]), (n[5], n[4])} <= got
     assert {(n[1], n[2]), (n[2], n[1])} <= got
     assert not any((n[a], n[b]) in got for a, b in [(0, 1), (3, 0), (4, 5), (1, 4)])
+
+
+def test_every_line_is_parsed(spark, tmp_path):
+    texts = [(1, "# note\na b c d e\nshort\nf g h i j"), (2, None), (3, "k l m n o")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["line_parse_all"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, "a", "c"), (1, 3, "f", "h"), (3, 0, "k", "m")]
