@@ -10,12 +10,22 @@ sizes add up to the number of records.
 For every split but the largest, the sizes to use are found by a subset sum
 over the size multiplicities: reachable totals are the bits of one integer,
 and a size with multiplicity m enters as the binary pieces 1, 2, 4, ... of m.
-Beyond ``exact_limit`` records the bulk is dealt from the largest sizes down
-and the bitset covers the rest, so its width is bounded.
+Beside the bits, one number per total tells which piece reached it first, and
+from that the pieces are read back.  Groups larger than the target never enter:
+only the smallest of them may stand alone as an overshoot.
+
+The bits first cover ``exact_limit`` totals (4.2 bytes each), the bulk being
+dealt from the largest sizes down.  A total that meets the target to within
+what the common divisor of the sizes allows is proven to be the nearest.  Only
+if it does not, the bits are widened four times and it is tried again, up to
+the whole target, so the answer is exact at every size.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +33,7 @@ from pyspark.sql.window import Window
 from knotwork.operators.components import hook_and_shortcut
 from knotwork.session import Scratch
 
-#: largest target for which the bitset covers every total
+#: totals that the bits cover at first
 EXACT_LIMIT = 2_000_000
 
 
@@ -43,44 +53,95 @@ def linked_groups(scratch: Scratch, records: DataFrame, record_id: str, left: st
     return named.join(least, "vertex").select("record_id", "group_id").unionByName(alone)
 
 
-def _subset(sizes: list[tuple[int, int]], target: int, exact_limit: int) -> dict[int, int]:
-    """How many groups of each size to take so that the total is as near the target as can be (the smaller on a tie)."""
-    taken: dict[int, int] = {}
-    left = dict(sizes)
-    rest = target
-    for s in sorted(left, reverse=True):  # bulk, from the largest down, while the rest is too wide
-        if rest <= exact_limit:
-            break
-        k = min(left[s], max(0, rest - exact_limit // 2) // s)
-        if k:
-            taken[s], left[s], rest = k, left[s] - k, rest - k * s
-    rest = max(rest, 0)
-    top = rest + max((s for s, m in left.items() if m), default=0)
-    mask = (1 << (top + 1)) - 1
-    pieces: list[tuple[int, int, int]] = []
-    reach = [1]
-    for s, m in sorted(left.items(), reverse=True):
-        m = min(m, top // s if s else 0)
-        step = 1
+def _pieces(sizes: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
+    """(size, how many) in binary multiplicities, the largest sizes first."""
+    out = []
+    for s, m in sorted(sizes, reverse=True):
+        m, step = min(m, width // s), 1
         while m > 0:
             k = min(step, m)
-            grown = reach[-1] | (reach[-1] << (k * s)) & mask
-            pieces.append((s, k, len(reach) - 1))
-            reach.append(grown)
+            out.append((s, k))
             m -= k
             step *= 2
-    low = reach[-1] & ((1 << (rest + 1)) - 1)
-    below = low.bit_length() - 1
-    high = reach[-1] >> (rest + 1)
-    above = rest + 1 + ((high & -high).bit_length() - 1) if high else None
-    total = below if above is None or rest - below <= above - rest else above
-    for s, k, before in reversed(pieces):
-        if not reach[before] >> total & 1:
-            taken[s] = taken.get(s, 0) + k
-            total -= k * s
+    return out
+
+
+def _reach(pieces: list[tuple[int, int]], width: int, goal: int) -> tuple[int, np.ndarray]:
+    """(reachable totals up to ``width`` as bits, the piece that reached each first); stops when ``goal`` is reached."""
+    mask, bits = (1 << (width + 1)) - 1, 1
+    first = np.full(width + 1, -1, dtype=np.int32)
+    for i, (s, k) in enumerate(pieces):
+        new = (bits << (s * k)) & mask & ~bits
+        if new:
+            low = (new & -new).bit_length() - 1
+            shifted = new >> low
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(shifted.to_bytes(-(-shifted.bit_length() // 8), "little"), dtype=np.uint8), bitorder="little"))
+            first[at + low] = i
+            bits |= new
+            if bits >> goal & 1:
+                break
+    return bits, first
+
+
+def _exact(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
+    """How many of each size make the total nearest to the target (the smaller on a tie)."""
+    usable = [(s, m) for s, m in sizes if 0 < s <= target and m]
+    big = min((s for s, m in sizes if s > target and m), default=None)
+    pieces = _pieces(usable, target)
+    everything = sum(s * m for s, m in usable)
+    if everything <= target:  # nothing to choose
+        if big is not None and big - target < target - everything:
+            return {big: 1}
+        return dict(usable)
+    bits, first = _reach(pieces, target, target)
+    total = bits.bit_length() - 1
+    gap = target - total
+    if gap and big is not None and big - target < gap:
+        gap = big - target
+    else:
+        big = None
+    if gap > 1:  # a total above the target may be nearer
+        above = target + gap - 1
+        wide = _pieces(usable, above)
+        more, first_wide = _reach(wide, above, above + 1)
+        over = more >> (target + 1)
+        if over:
+            total, pieces, first, big = target + (over & -over).bit_length(), wide, first_wide, None
+    if big is not None:
+        return {big: 1}
+    taken: dict[int, int] = {}
+    while total:
+        s, k = pieces[first[total]]
+        taken[s] = taken.get(s, 0) + k
+        total -= s * k
     return taken
 
 
+def _subset(sizes: list[tuple[int, int]], target: int, exact_limit: int) -> dict[int, int]:
+    """As ``_exact``, with bits of ``exact_limit`` totals as long as that is proven to be enough."""
+    unit = math.gcd(*[s for s, m in sizes if m]) or 1
+    best = min(target % unit, unit - target % unit)  # no total can be nearer
+    while True:
+        taken: dict[int, int] = {}
+        left, rest = dict(sizes), target
+        for s in sorted(left, reverse=True):  # bulk, from the largest down, while the rest is too wide
+            if rest <= exact_limit:
+                break
+            k = min(left[s], max(0, rest - exact_limit // 2) // s)
+            if k:
+                taken[s], left[s], rest = k, left[s] - k, rest - k * s
+        if min(rest, sum(s * m for s, m in left.items() if s <= rest)) <= exact_limit:
+            scaled = [(s // unit, m) for s, m in left.items()]
+            low, up = rest // unit, -(-rest // unit)
+            tries = [{s * unit: k for s, k in _exact(scaled, t).items()} for t in sorted({low, up})]
+            found = min(tries, key=lambda t: (abs(sum(s * k for s, k in t.items()) - rest), sum(s * k for s, k in t.items())))
+            for s, k in found.items():
+                taken[s] = taken.get(s, 0) + k
+            if exact_limit >= target or abs(sum(s * k for s, k in taken.items()) - target) <= best:
+                return taken
+        exact_limit *= 4
+
+
 def deal(sizes: list[tuple[int, int]], shares: list[tuple[str, int]], exact_limit: int = EXACT_LIMIT) -> list[tuple[int, str, int, int]]:
     """(size, split, first, last): which of the groups of a size, counted from 1, go to which split.
 

@@ -8,9 +8,12 @@ one array, so an item costs one pass over it.
 Items are dealt to partitions by a hash of their id and packed there in a fixed
 order, so a task that is run again gives the same windows.  The items of the
 windows that stay partially filled are packed again, together, in fewer
-partitions, and so on to one; the last ones are placed by falling size.  Only
-those leftovers travel, so the loss does not grow with the number of
-partitions.
+partitions, as long as each level leaves at most ``SHRINK`` of the items of the
+one before; so there are at most log2 of the number of tasks levels.  What no
+further level would fill better (one task's worth, or items that have no
+partners, such as all larger than half a window) is settled where it lies, in
+parallel: the open windows of each task are filled anew by falling size if that
+takes fewer windows.  At most one badly filled window a task is lost by that.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from knotwork.session import Scratch
 ITEMS_PER_TASK = 100_000
 #: a window of at least this share of its capacity is not packed again
 FULL_ENOUGH = 0.995
+#: a level that leaves more than this share of its items is the last one
+SHRINK = 0.5
 
 
 class SumOfSquares:
@@ -88,35 +93,39 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack(part: pd.DataFrame, capacity: int, last: bool, tag: str) -> pd.DataFrame:
-    sizes = part["size"].tolist()
+    sizes = part["size"].to_numpy()
     packer = SumOfSquares(capacity)
-    placed = [packer.place(s) for s in sizes]
-    level = packer.level
+    placed = [packer.place(int(s)) for s in sizes]
+    level = np.array(packer.level, dtype=np.int64)
     window = np.array([w for w, _ in placed], dtype=np.int64)
     offset = np.array([o for _, o in placed], dtype=np.int64)
-    full = np.array([level[w] >= FULL_ENOUGH * capacity for w in window], dtype=bool)
-    done = full.copy()
+    done = level[window] >= FULL_ENOUGH * capacity
+    by = np.zeros(len(sizes), dtype=bool)  # placed anew
     if last:
-        rest = np.flatnonzero(~full)
-        again = best_fit([sizes[i] for i in rest], capacity)
-        for i, (w, o) in zip(rest, again):
-            window[i], offset[i] = len(level) + w, o
+        rest = np.flatnonzero(~done)
+        again = best_fit(sizes[rest].tolist(), capacity)
+        if rest.size and max(w for w, _ in again) + 1 < len(np.unique(window[rest])):
+            window[rest] = [len(level) + w for w, _ in again]
+            offset[rest] = [o for _, o in again]
+            by[rest] = True
         done[:] = True
     out = part[["item", "piece", "first_token", "size"]].copy()
     out["window"] = [f"{tag}-{w}" for w in window]
     out["offset"] = offset
     out["done"] = done
+    out["again"] = by
     return out
 
 
 def pack(items: DataFrame, item_id: str, size: str, capacity: int, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
-    """``item, piece, first_token, size, window, offset``: one row per piece of every item.
+    """``item, piece, first_token, size, window, offset, again``: one row per piece of every item.
 
     Only an item larger than the capacity is divided, into whole windows and a
     rest (``piece`` counts from 0, ``first_token`` is where the piece begins).
     An item of size 0 takes no room: its window is null.  Null or negative sizes
     count as 0.  Rows are items: repeated ids are packed each; ids of any type
-    are allowed and kept.  An empty table gives an empty result.
+    are allowed and kept.  ``again`` marks the leftovers that were placed by
+    falling size, not by sum of squares.  An empty table gives an empty result.
     """
     scratch = Scratch(items.sparkSession, "packing")
     rows = items.select(F.col(item_id).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("int"), F.lit(0)).alias("n"))
@@ -125,16 +134,18 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, items_per_tas
     )
     cut = scratch.put(pieces)
     kind = items.schema[item_id].dataType.simpleString()
-    schema = f"item {kind}, piece int, first_token int, size int, window string, offset bigint, done boolean"
+    schema = f"item {kind}, piece int, first_token int, size int, window string, offset bigint, done boolean, again boolean"
     order = [F.xxhash64(F.col("item").cast("string"), F.col("piece")), F.col("item").cast("string"), "piece", "size"]
+    fixed = [F.lit(0).cast("bigint").alias("offset"), F.lit(False).alias("again")]
     # whole windows need no packing
-    whole = cut.filter(F.col("size") == capacity).select("*", F.concat(F.lit("w-"), F.col("item").cast("string"), F.lit("-"), F.col("piece"), F.lit("-"), F.monotonically_increasing_id()).alias("window"), F.lit(0).cast("bigint").alias("offset"))
-    empty = cut.filter("size = 0").select("*", F.lit(None).cast("string").alias("window"), F.lit(0).cast("bigint").alias("offset"))
+    whole = cut.filter(F.col("size") == capacity).select("*", F.concat(F.lit("w-"), F.col("item").cast("string"), F.lit("-"), F.col("piece"), F.lit("-"), F.monotonically_increasing_id()).alias("window"), *fixed)
+    empty = cut.filter("size = 0").select("*", F.lit(None).cast("string").alias("window"), *fixed)
     out = scratch.put(whole).unionByName(empty)
     rest, level = cut.filter((F.col("size") > 0) & (F.col("size") < capacity)), 0
+    left, before = rest.count(), None
     while True:
-        tasks = max(1, -(-rest.count() // items_per_task))
-        last = tasks == 1
+        tasks = max(1, -(-left // items_per_task))
+        last = tasks == 1 or (before is not None and left > SHRINK * before)
 
         def run(parts: Iterator[pd.DataFrame], last: bool = last, level: int = level) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
@@ -143,9 +154,13 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, items_per_tas
             if held:
                 yield _pack(pd.concat(held, ignore_index=True), capacity, last, f"{level}-{TaskContext.get().partitionId()}")
 
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(level), F.col("item").cast("string"), F.col("piece")), F.lit(tasks)).cast("int"))
-        placed = scratch.put((dealt.coalesce(1) if last else dealt.repartition(tasks, "part")).sortWithinPartitions(*order).select("item", "piece", "first_token", "size").mapInPandas(run, schema))
+        part = F.pmod(F.xxhash64(F.lit(level), F.col("item").cast("string"), F.col("piece"), F.monotonically_increasing_id()), F.lit(tasks)).cast("int")
+        dealt = rest.coalesce(1) if tasks == 1 else rest.withColumn("part", part).repartitionById(tasks, F.col("part"))
+        placed = scratch.put(dealt.sortWithinPartitions(*order).select("item", "piece", "first_token", "size").mapInPandas(run, schema))
         out = out.unionByName(placed.filter("done").drop("done"))
         if last:
             return out
         rest, level = placed.filter("NOT done").select("item", "piece", "first_token", "size"), level + 1
+        left, before = rest.count(), left
+        if not left:
+            return out

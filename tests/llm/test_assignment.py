@@ -46,3 +46,30 @@ def test_deal_covers_every_group_once():
             assert (s, i) not in seen
             seen[s, i] = 1
     assert len(seen) == 16
+
+
+def test_a_giant_group_does_not_widen_the_bits():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.time()
+    for sizes in ([(1, 100_000), (2, 50_000), (400_000_000, 1)], [(s, 2) for s in range(1, 3000)] + [(30_000_000, 1)], [(2 * s, 1) for s in range(1, 10_001)]):
+        total = sum(s * m for s, m in sizes)
+        out = deal(sizes, [("train", 80), ("valid", 10), ("test", 10)])
+        got = {n: sum(s * (b - a + 1) for s, x, a, b in out if x == n) for n in ("train", "valid", "test")}
+        assert sum(got.values()) == total
+        if sizes[-1][0] != 400_000_000:
+            assert all(abs(got[n] - total / 10) <= 2 for n in ("valid", "test"))
+    assert tracemalloc.get_traced_memory()[1] < 100 * 2**20 and time.time() - start < 60
+    tracemalloc.stop()
+
+
+def test_widening_finds_the_exact_total():
+    rng = random.Random(4)
+    for _ in range(40):
+        sizes = [(s, rng.randrange(1, 3)) for s in rng.sample(range(20, 90, 3), 5)]
+        target = rng.randrange(0, sum(s * m for s, m in sizes) + 1)
+        totals = {sum(s * k for (s, _), k in zip(sizes, ks)) for ks in product(*[range(m + 1) for _, m in sizes])}
+        got = sum(s * k for s, k in _subset(sizes, target, 8).items())
+        assert abs(got - target) == min(abs(t - target) for t in totals)

@@ -67,3 +67,22 @@ def test_odd_sizes(spark):
 def test_best_fit():
     out = best_fit([6, 5, 4, 5], 10)
     assert out[0][0] == out[2][0] and out[1][0] == out[3][0]
+
+
+def test_items_without_partners_end_and_are_not_lost(spark):
+    for sizes in ({i: 60 for i in range(300)}, {i: 60 if i % 2 else 55 for i in range(300)}, {i: 75 if i % 2 else 25 for i in range(400)}):
+        df = spark.createDataFrame(list(sizes.items()), "k bigint, n int")
+        rows = pack(df, "k", "n", 100, 10).collect()
+        check(rows, sizes, 100)
+        if 25 in sizes.values():
+            assert check(rows, sizes, 100) > 0.9
+
+
+def test_many_levels_fill_as_well_as_one(spark):
+    rng = random.Random(5)
+    sizes = {i: min(2000, int(rng.lognormvariate(4.5, 1.0)) + 1) for i in range(20_000)}
+    df = spark.createDataFrame(list(sizes.items()), "k bigint, n int")
+    for tasks in (1_000, 100_000):
+        rows = pack(df, "k", "n", 2048, tasks).collect()
+        assert check(rows, sizes, 2048) > 0.99
+        assert sum(not r["again"] for r in rows) > 0.9 * len(rows)
