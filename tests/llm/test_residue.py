@@ -53,3 +53,12 @@ def test_deep_quotes_and_long_traces():
     trace = "Traceback (most recent call last):\n" + '  File "/srv/board/post.py", line 9, in render\n    value = posts[number].render(reader)\n' * 20 + "KeyError: 'body'"
     assert density(trace) == 1.0
     assert density('{"error": "' + "no such record, ask again. " * 40 + '"}') == 1.0
+
+
+def test_texts_that_no_table_holds():
+    from residue_texts import POSTS, POSTS_LATER, RESIDUE, RESIDUE_LATER, texts
+
+    bad, good = texts(RESIDUE) + texts(RESIDUE_LATER), texts(POSTS) + texts(POSTS_LATER)
+    assert len(bad) + len(good) >= 200
+    found, false = sum(density(t) >= DENSITY for t in bad), sum(density(t) >= DENSITY for t in good)
+    assert found >= 0.9 * len(bad) and found >= 0.9 * (found + false)
