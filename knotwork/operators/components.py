@@ -23,15 +23,19 @@ from knotwork.session import Scratch
 
 
 def _flatten(scratch: Scratch, parent: DataFrame) -> DataFrame:
-    """Shortcut a parent table (v, p) until every p is a root."""
+    """Shortcut a parent table (v, p) until every p is a root.
+
+    Two steps up a write: where nobody has a third ancestor all are flat.
+    """
     while True:
         up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jumped = scratch.put(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+        further = parent.select(F.col("v").alias("pp"), F.col("p").alias("ppp"))
+        twice = parent.join(up, "p", "left").join(further, "pp", "left")
+        jumped, n = scratch.put_counted(twice.select("v", F.coalesce("ppp", "pp", "p").alias("p"), F.col("ppp").isNotNull().alias("moved")), moved=F.count_if("moved"))
         scratch.drop(parent)
-        moved = jumped.filter("moved").limit(1).count()
         parent = jumped.select("v", "p")
         parent._knotwork_path = jumped._knotwork_path
-        if not moved:
+        if not n["moved"]:
             return parent
 
 
@@ -40,14 +44,15 @@ def hook_and_shortcut(scratch: Scratch, links: DataFrame) -> DataFrame:
 
     Nodes without links do not appear.  Null ends state no link.
     """
-    links = scratch.put(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    some = {"n": F.count(F.lit(1))}
+    links, left = scratch.put_counted(links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), **some)
     levels: list[DataFrame] = []
-    while links.limit(1).count():
+    while left["n"]:
         # b > a throughout: the smallest neighbour of b, if smaller than b, is a minimum over a
         parent = _flatten(scratch, scratch.put(links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))))
         root = lambda end: parent.select(F.col("v").alias(end), F.col("p").alias(f"p{end}"))  # noqa: B023, E731
         moved = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("pa", "a").alias("x"), F.coalesce("pb", "b").alias("y"))
-        fewer = scratch.put(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        fewer, left = scratch.put_counted(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), **some)
         scratch.drop(links)
         links = fewer
         levels.append(parent)

@@ -10,8 +10,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
@@ -75,15 +76,28 @@ class Scratch:
         out._knotwork_path = path
         return out
 
+    def put_counted(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``put``, and aggregates of the rows taken while they are written (no second job).
+
+        A task that is run again may count its rows twice, so only the
+        difference between none and some is exact.
+        """
+        seen = Observation()
+        out = self.put(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+        return out, {k: v or 0 for k, v in seen.get.items()}
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_knotwork_path", None)
         if path:
             _delete(self.spark, path)
 
 
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """The table marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffled join).
+_SHARED: dict[tuple[str, str], DataFrame] = {}
 
-    For tables of ``Scratch``: their count is read from the file footers.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
+
+def shared_table(spark: SparkSession, name: str, make: Callable[[Scratch], DataFrame]) -> DataFrame:
+    """A table that several operators need, written once per application and kept until it ends."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _SHARED:
+        _SHARED[key] = make(Scratch(spark, "shared"))
+    return _SHARED[key]

@@ -1,5 +1,5 @@
 """Readers and sinks."""
 
-from knotwork.sources.tables import table
+from knotwork.sources.tables import table, version
 
-__all__ = ["table"]
+__all__ = ["table", "version"]
