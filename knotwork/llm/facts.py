@@ -1,9 +1,11 @@
 """Facts of the edge table over canonical nodes.
 
 Compounds go by their group's id (problem 6), all other nodes by their normal
-form.  While the group table is small it is broadcast and looked up in the scan.
-Beyond that the normal forms are written once, and only rows with a compound
-are shuffled to the groups, each once (the few with two compounds twice).
+form.  One plan for every size: the edges are read and normalized once and both
+ends are looked up by equi-joins; whether the group table is broadcast is left
+to the planner, which goes by its measured bytes.  Ends that are no compounds
+get a spread key, so a hot node that has no group never gathers in one task,
+and a hot compound is split by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -12,18 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.ids import fact_columns, is_compound
-from knotwork.session import Scratch
 
-#: rows of the group table up to which it is broadcast (two short ids each)
-GROUP_ROWS = 250_000
+#: keys that rows without a compound are spread over
+SPREAD = 4_096
 
 
 def _named(df: DataFrame, groups: DataFrame, end: str) -> DataFrame:
     g = groups.select(F.col("id").alias("__id"), F.col("group_id").alias("__g"))
-    return df.join(g, F.col(end) == F.col("__id"), "left").withColumn(end, F.coalesce("__g", F.col(end))).drop("__id", "__g")
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("head_n", "relation_n", "tail_n"), F.lit(SPREAD)).cast("string"))
+    keyed = df.withColumn("__id", F.when(is_compound(F.col(end)), F.col(end)).otherwise(spread))
+    return keyed.join(g, "__id", "left").withColumn(end, F.coalesce("__g", F.col(end))).drop("__id", "__g")
 
 
-def canonical_facts(scratch: Scratch, edges: DataFrame, groups: DataFrame, keep: dict[str, Column], relations: list[str] | None = None) -> DataFrame:
+def canonical_facts(edges: DataFrame, groups: DataFrame, keep: dict[str, Column], relations: list[str] | None = None) -> DataFrame:
     """Rows that state a fact: the ``keep`` columns and ``relation_n, head_n, tail_n``.
 
     ``co_occurs_with`` has no direction: its ends come in the order of their bytes.
@@ -31,17 +34,6 @@ def canonical_facts(scratch: Scratch, edges: DataFrame, groups: DataFrame, keep:
     facts = fact_columns(edges)
     if relations:
         facts = facts.filter(F.col("relation_n").isin(relations))
-    ends = ["relation_n", "head_n", "tail_n"]
-    if groups.count() <= GROUP_ROWS:
-        # one pass: both ends are looked up where the row is
-        small = F.broadcast(groups)
-        out = _named(_named(facts.select(*[c.alias(k) for k, c in keep.items()], *ends), small, "head_n"), small, "tail_n")
-    else:
-        written = scratch.put(facts.select(*[c.alias(k) for k, c in keep.items()], *ends, is_compound(F.col("head_n")).alias("__h"), is_compound(F.col("tail_n")).alias("__t")))
-        none = written.filter("NOT __h AND NOT __t")
-        both = _named(_named(written.filter("__h AND __t"), groups, "head_n"), groups, "tail_n")
-        single = written.filter("__h <> __t").withColumn("__k", F.when(F.col("__h"), F.col("head_n")).otherwise(F.col("tail_n")))
-        single = _named(single, groups, "__k").withColumns({"head_n": F.when(F.col("__h"), F.col("__k")).otherwise(F.col("head_n")), "tail_n": F.when(F.col("__t"), F.col("__k")).otherwise(F.col("tail_n"))}).drop("__k")
-        out = none.unionByName(both).unionByName(single).drop("__h", "__t")
+    out = _named(_named(facts.select(*[c.alias(k) for k, c in keep.items()], "relation_n", "head_n", "tail_n"), groups, "head_n"), groups, "tail_n")
     loose = F.col("relation_n") == "co_occurs_with"
     return out.withColumns({"head_n": F.when(loose, F.least("head_n", "tail_n")).otherwise(F.col("head_n")), "tail_n": F.when(loose, F.greatest("head_n", "tail_n")).otherwise(F.col("tail_n"))})

@@ -16,8 +16,8 @@ from knotwork.llm.overlap import contained, gram_hash, record_hits
 from knotwork.llm.packing import pack
 from knotwork.llm.residue import residue
 from knotwork.llm.survivor import Field, fuse, preference
-from knotwork.session import Scratch, if_small
-from knotwork.sources import table
+from knotwork.session import Scratch, shared_table
+from knotwork.sources import table, version
 
 # The relations of the slice that problem 4 asks for.
 SLICE = ["treats_disease", "therapeutic_target_for"]
@@ -30,42 +30,45 @@ def _fact_words() -> list:
     return [F.col("head_n"), F.col("relation_n"), F.col("tail_n")]
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """The compound groups, once per session and state of its files: problems 2, 4 and 5 share the table."""
+    return shared_table(spark, f"groups:{version(spark, d, 'metabolite_canonical')}", lambda scratch: write_groups(scratch, table(spark, d, "metabolite_canonical")))
+
+
 def _split_facts(spark: SparkSession, d: str, more: list[str] = []) -> tuple[Scratch, DataFrame]:  # noqa: B006
     scratch = Scratch(spark, "p2")
-    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
     edges = table(spark, d, "final_kg_edges").select("edge_id", "split_name", *_ENDS, *more).filter(F.col("split_name").isin("train", *HELD_OUT))
-    facts = canonical_facts(scratch, edges, groups, {"edge_id": F.col("edge_id"), "split_name": F.col("split_name")} | {c: F.col(c) for c in more})
-    # a fact is three words, fewer than a five-word gram: its one gram is the whole fact
-    return scratch, facts.withColumn("gram", gram_hash(F.array(*_fact_words())))
+    return scratch, canonical_facts(edges, _groups(spark, d), {"edge_id": F.col("edge_id"), "split_name": F.col("split_name")} | {c: F.col(c) for c in more})
 
 
-def _hits(facts: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    key = [F.col("gram.x").alias("x"), F.col("gram.y").alias("y")]
-    held = facts.filter(F.col("split_name").isin(HELD_OUT)).select(*key, F.col("edge_id").alias("held_id"), *[F.col(c).alias(f"held_{c}") for c in extra])
-    train = facts.filter(F.col("split_name") == "train").select(*key, F.col("edge_id").alias("train_id"))
-    return record_hits(held, train, ["x", "y"])
+def _keyed_facts(spark: SparkSession, d: str, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Split records with the 128-bit key of their fact, written once: the evaluation and the training side both read it."""
+    scratch, facts = _split_facts(spark, d, more)
+    # a fact is three words, fewer than a five-word gram: its one gram is the whole fact
+    gram = gram_hash(F.array(*_fact_words()))
+    return scratch.put(facts.select("edge_id", "split_name", *more, gram["x"].alias("x"), gram["y"].alias("y")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a train record and a held-out record that state the same fact."""
-    _, facts = _split_facts(spark, d)
-    return _hits(facts).select(F.least("train_id", "held_id").alias("edge_id_a"), F.greatest("train_id", "held_id").alias("edge_id_b"))
+    keyed = _keyed_facts(spark, d)
+    held = keyed.filter(F.col("split_name").isin(HELD_OUT)).select("x", "y", F.col("edge_id").alias("held_id"))
+    train = keyed.filter(F.col("split_name") == "train").select("x", "y", F.col("edge_id").alias("train_id"))
+    return record_hits(held, train, ["x", "y"]).select(F.least("train_id", "held_id").alias("edge_id_a"), F.greatest("train_id", "held_id").alias("edge_id_b"))
 
 
 def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Per held-out split and source: records, records that train states too, and pairs.
 
-    A record counts once for each distinct source it names; `(none)` where it names none.
+    A record counts once for each distinct source it names; `(none)` where it
+    names none.  Train records are counted per fact, so no pair is made.
     """
-    _, facts = _split_facts(spark, d, ["source"])
+    keyed = _keyed_facts(spark, d, ["source"])
     names = F.array_distinct(F.filter(F.transform(F.split("source", r"[|;,/]"), lambda x: F.trim(x)), lambda x: ~F.lower(x).isin("", "nan", "none", "na", "n/a", "-")))
-    held = facts.filter(F.col("split_name").isin(HELD_OUT)).select(F.col("edge_id").alias("held_id"), "split_name", F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("(none)")))).alias("source"))
-    pairs = _hits(facts).groupBy("held_id").agg(F.count("*").alias("pairs"))
-    return (
-        held.join(pairs, "held_id", "left")
-        .groupBy("split_name", "source")
-        .agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
-    )
+    held = keyed.filter(F.col("split_name").isin(HELD_OUT)).select("x", "y", "split_name", F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("(none)"))).alias("names"))
+    stated = keyed.filter(F.col("split_name") == "train").groupBy("x", "y").agg(F.count("*").alias("pairs"))
+    each = held.join(stated, ["x", "y"], "left").select("split_name", F.explode("names").alias("source"), "pairs")
+    return each.groupBy("split_name", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
 def p2_contained(spark: SparkSession, d: str) -> DataFrame:
@@ -80,9 +83,8 @@ def p2_contained(spark: SparkSession, d: str) -> DataFrame:
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p4")
-    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
     edges = table(spark, d, "final_kg_edges").select("edge_id", *_ENDS)
-    facts = canonical_facts(scratch, edges, groups, {"edge_id": F.col("edge_id")}, SLICE)
+    facts = canonical_facts(edges, _groups(spark, d), {"edge_id": F.col("edge_id")}, SLICE)
     return scratch.put(linked_groups(scratch, facts, "edge_id", "head_n", "tail_n"))
 
 
@@ -130,10 +132,6 @@ def confidence_value(col):
     )
 
 
-#: repeated facts, and their records, up to which they are broadcast (a few numbers each)
-REPEATED_FACTS, REPEATED_ROWS = 500_000, 1_000_000
-
-
 def _repeated(spark: SparkSession, d: str) -> tuple[Scratch, DataFrame]:
     """Records of facts stated more than once, with the fact's smallest edge_id.
 
@@ -141,29 +139,30 @@ def _repeated(spark: SparkSession, d: str) -> tuple[Scratch, DataFrame]:
     attributes are fetched.
     """
     scratch = Scratch(spark, "p5")
-    groups = write_groups(scratch, table(spark, d, "metabolite_canonical"))
     edges = table(spark, d, "final_kg_edges")
-    facts = canonical_facts(scratch, edges.select("edge_id", *_ENDS), groups, {"edge_id": F.col("edge_id")}).withColumn("gram", gram_hash(F.array(*_fact_words())))
-    keyed = scratch.put(facts.select(F.col("gram.x").alias("x"), F.col("gram.y").alias("y"), "edge_id"))
-    twice = scratch.put(keyed.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("group_id")).filter("n > 1").drop("n"))
-    ids = scratch.put(keyed.join(if_small(twice, REPEATED_FACTS), ["x", "y"]).select("edge_id", "group_id"))
+    facts = canonical_facts(edges.select("edge_id", *_ENDS), _groups(spark, d), {"edge_id": F.col("edge_id")})
+    gram = gram_hash(F.array(*_fact_words()))
+    keyed = scratch.put(facts.select(gram["x"].alias("x"), gram["y"].alias("y"), "edge_id"))
+    twice = keyed.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("edge_id").alias("group_id")).filter("n > 1").drop("n")
+    ids = scratch.put(keyed.join(scratch.put(twice), ["x", "y"]).select("edge_id", "group_id"))
     attributes = edges.select("edge_id", "evidence_type", "source", "confidence", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"))
-    rows = attributes.join(if_small(ids, REPEATED_ROWS), "edge_id")
-    return scratch, scratch.put(rows.select("edge_id", "group_id", _strongest(F.col("evidence_type")).cast("tinyint").alias("rank"), "source", or_null(F.col("confidence")).alias("confidence"), "at"))
+    rows = attributes.join(ids, "edge_id").select("edge_id", "group_id", "evidence_type", _source_names(F.col("source")).alias("names"), or_null(F.col("confidence")).alias("confidence"), "at")
+    # every field is computed once, as it is written
+    value = F.coalesce(F.format_string("%.3f", confidence_value(F.col("confidence"))), F.lower("confidence"))
+    return scratch, scratch.put(rows.select("edge_id", "group_id", _strongest(F.col("evidence_type")).cast("int").alias("rank"), F.sort_array("names").alias("names"), F.when(F.col("confidence").isNotNull(), value).alias("value"), "at"))
 
 
 def _fused(spark: SparkSession, d: str, by_rule: bool) -> DataFrame:
     scratch, rows = _repeated(spark, d)
-    rows = rows.withColumn("names", _source_names(F.col("source")))
     n = F.size(F.coalesce("names", F.array().cast("array<string>")))
-    classes = F.element_at(F.array(*[F.lit(c) for c in reversed(EVIDENCE_CLASSES)]), F.col("rank").cast("int"))
-    value = F.format_string("%.3f", confidence_value(F.col("confidence")))
+    classes = F.element_at(F.array(*[F.lit(c) for c in reversed(EVIDENCE_CLASSES)]), F.col("rank"))
     fields = [
         Field("evidence_type", F.when(F.col("rank").isNotNull(), classes), preference(F.col("rank")) if by_rule else preference()),
-        Field("source", F.when(n > 0, n), preference(n) if by_rule else preference()),
-        Field("confidence", F.when(F.col("confidence").isNotNull(), F.coalesce(value, F.lower("confidence"))), preference(0, F.coalesce("at", F.lit(-(2**63))), F.col("edge_id")) if by_rule else preference()),
+        # by rule the most complete list counts, by votes the list itself
+        Field("source", F.when(n > 0, n.cast("string") if by_rule else F.array_join("names", "|")), preference(n) if by_rule else preference()),
+        Field("confidence", F.col("value"), preference(0, F.coalesce("at", F.lit(-(2**63))), F.col("edge_id")) if by_rule else preference()),
     ]
-    best, _ = fuse(scratch, rows, ["group_id"], "edge_id", F.col("at"), F.col("names"), fields if by_rule else [fields[0], fields[2]])
+    best, _ = fuse(scratch, rows, ["group_id"], "edge_id", F.col("at"), F.col("names"), fields)
     ids = rows.select("group_id").distinct()
     return ids.join(best, "group_id", "left")
 
@@ -176,7 +175,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Of each repeated fact, the evidence class and confidence of largest posterior, by votes alone."""
+    """Of each repeated fact, the evidence class, sources and confidence of largest posterior, by votes alone."""
     return _fused(spark, d, False).filter("field IS NOT NULL").select("group_id", "field", "value", "record_id", F.round("posterior", 6).alias("posterior"))
 
 

@@ -12,13 +12,15 @@ ROWS = [
 
 @pytest.mark.parametrize("small", [True, False])
 def test_compounds_go_by_their_group(spark, monkeypatch, small):
-    monkeypatch.setattr(facts, "GROUP_ROWS", 100 if small else 0)
+    monkeypatch.setattr(facts, "SPREAD", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if small else "-1")
     edges = spark.createDataFrame(ROWS, "edge_id bigint, head_id string, head_type string, relation string, tail_id string, tail_type string")
     scratch = Scratch(spark, "t")
     groups = scratch.put(spark.createDataFrame([("HMDB:HMDB0000001", "CHEBI:1"), ("PUBCHEM:7", "CHEBI:0")], "id string, group_id string"))
-    got = facts.canonical_facts(scratch, edges, groups, {"edge_id": F.col("edge_id")}).collect()
+    got = facts.canonical_facts(edges, groups, {"edge_id": F.col("edge_id")}).collect()
     assert {r["edge_id"]: (r["head_n"], r["relation_n"], r["tail_n"]) for r in got} == {
         1: ("CHEBI:1", "treats_disease", "D900000001"), 2: ("CHEBI:1", "treats_disease", "D900000001"), 3: ("NCBI_TAXON:4", "co_occurs_with", "NCBI_TAXON:5"),
         4: ("CHEBI:0", "co_occurs_with", "CHEBI:1"), 5: ("NCBI_TAXON:5", "produces", "KEGG:C00000009"),
     }
-    assert facts.canonical_facts(scratch, edges.limit(0), groups, {"edge_id": F.col("edge_id")}).count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert facts.canonical_facts(edges.limit(0), groups, {"edge_id": F.col("edge_id")}).count() == 0
