@@ -48,6 +48,14 @@ def namespace_of(x: Column) -> Column:
     return F.when(F.contains(x, F.lit(":")), F.substring_index(x, ":", 1)).otherwise(F.lit("OTHER"))
 
 
+def by_prefix(x: Column) -> Column:
+    """The normal form of the name space that the id's own prefix names, in any case; ``""`` where there is none."""
+    ns = F.upper(F.substring_index(strip(x), ":", 1))
+    return (
+        F.when(ns.isin("PUBCHEM", "CID"), pubchem(x)).when(ns == "CHEBI", chebi(x)).when(ns == "HMDB", hmdb(x)).when(ns == "KEGG", prefixed(x, "KEGG")).when(ns == "MESH", prefixed(x, "MESH")).otherwise(F.lit(""))
+    )
+
+
 def packed(text: Column) -> Column:
     """A map from ``key=value|key=value`` text."""
     return F.str_to_map(text, F.lit("[|]"), F.lit("="))

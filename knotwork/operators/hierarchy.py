@@ -22,6 +22,7 @@ the nodes between its entries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,8 +50,8 @@ _STEP = T.StructType(
 )
 
 
-def _follow(rows: pd.DataFrame) -> pd.DataFrame:
-    """Local chains of one partition: columns tree, node, parent, entered, least, via."""
+def _follow(rows: pd.DataFrame, paths: bool = True) -> pd.DataFrame:
+    """Local chains of one partition: columns tree, node, parent, entered, least, via (empty without ``paths``)."""
     key = list(zip(rows["tree"], rows["node"]))
     parent = dict(zip(key, rows["parent"]))
     weight = dict(zip(key, rows["hops"]))
@@ -68,10 +69,10 @@ def _follow(rows: pd.DataFrame) -> pd.DataFrame:
         if x in at:  # a cycle inside the fragment
             ring = trail[at[x] :]
             least = min(low[v] for v in ring)
-            names = [n for v in ring for n in (v[1], *list(between[v])[:-1])]
+            names = [n for v in ring for n in (v[1], *list(between[v])[:-1])] if paths else []
             for v in ring:
-                turn = names.index(v[1])
-                done[v] = (v[1], len(names), least, [*names[turn + 1 :], *names[:turn], v[1]], -1)
+                turn = names.index(v[1]) if paths else 0
+                done[v] = (v[1], len(names), least, [*names[turn + 1 :], *names[:turn], v[1]] if paths else [], -1)
             trail = trail[: at[x]]
         for v in reversed(trail):
             p = (v[0], parent[v])
@@ -93,17 +94,17 @@ def _follow(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _follow_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _follow_all(parts: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
     held = [p for p in parts if len(p)]
     if held:
-        yield _follow(pd.concat(held, ignore_index=True))
+        yield _follow(pd.concat(held, ignore_index=True), paths)
 
 
 def _mark(level: int, tree: str, node: str):
     return F.pmod(F.xxhash64(F.lit(level), F.col(tree), F.col(node)), F.lit(2))
 
 
-def _solve(scratch: Scratch, links: DataFrame, level: int, fragment_rows: int, hot: int) -> DataFrame:
+def _solve(scratch: Scratch, links: DataFrame, level: int, fragment_rows: int, hot: int, paths: bool = True) -> DataFrame:
     """links: tree, node, parent, hops, least, via -> tree, node, root, depth, path (see ``hierarchy``)."""
     n = links.count()
     parts = max(1, -(-n // fragment_rows))
@@ -119,7 +120,7 @@ def _solve(scratch: Scratch, links: DataFrame, level: int, fragment_rows: int, h
             .withColumn("__home", F.when(drawn, F.col("parent")).otherwise(F.col("node")))
             .repartition(parts, "tree", "__home")
         )
-    cut = scratch.put(placed.select("tree", "node", "parent", "hops", "least", "via", "entered").mapInPandas(_follow_all, _STEP))
+    cut = scratch.put(placed.select("tree", "node", "parent", "hops", "least", "via", "entered").mapInPandas(partial(_follow_all, paths=paths), _STEP))
 
     def final(df: DataFrame) -> DataFrame:
         # a chain that left its last fragment ended at a root; local cycles know their answer
@@ -133,7 +134,7 @@ def _solve(scratch: Scratch, links: DataFrame, level: int, fragment_rows: int, h
     if parts == 1:
         return final(cut)
     quotient = cut.filter("entered AND state = 0").select("tree", "node", F.col("exit").alias("parent"), F.col("steps").alias("hops"), "least", "via")
-    above = scratch.put(_solve(scratch, scratch.put(quotient), level + 1, fragment_rows, hot))
+    above = scratch.put(_solve(scratch, scratch.put(quotient), level + 1, fragment_rows, hot, paths))
     # entered nodes that know their answer already; a chain of the quotient may end at one
     local = final(cut.filter("entered AND state <> 0")).select("tree", "node", F.col("root").alias("l_root"), F.col("depth").alias("l_depth"), F.col("path").alias("l_path"))
     reached = above.join(local.withColumnRenamed("node", "root"), ["tree", "root"], "left").select(
@@ -161,7 +162,7 @@ def _solve(scratch: Scratch, links: DataFrame, level: int, fragment_rows: int, h
     ).unionByName(final(cut.filter("state <> 0")))
 
 
-def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", tree: str | None = None, fragment_rows: int = FRAGMENT_ROWS, hot: int = HOT_CHILDREN) -> DataFrame:
+def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", tree: str | None = None, fragment_rows: int = FRAGMENT_ROWS, hot: int = HOT_CHILDREN, paths: bool = True) -> DataFrame:
     """Root, depth and path of every node that has a parent.
 
     Result: ``tree, node, parent, root, depth, path``.  ``path`` lists the
@@ -175,6 +176,10 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", tree
     ``tree`` names a column that keeps several hierarchies apart (null counts
     as one of its own).  Other columns are left out, whatever their names.
     An empty table gives an empty result.
+
+    Without ``paths`` only ``tree, node, root, depth`` come out and no path is
+    carried: the cost no longer grows with the depth.  Only the nodes whose
+    path ends in a cycle are solved again with their paths.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
@@ -182,8 +187,15 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", tree
         (F.coalesce(F.col(tree).cast("string"), F.lit("")) if tree else F.lit("")).alias("tree"), F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent")
     ).filter("node IS NOT NULL AND parent IS NOT NULL")
     one = scratch.put(rows.groupBy("tree", "node").agg(F.min("parent").alias("parent")))
-    start = one.select("*", F.lit(1).alias("hops"), F.col("node").alias("least"), F.array("parent").alias("via"))
-    solved = _solve(scratch, start, 0, fragment_rows, hot)
+    via = F.array("parent") if paths else F.array().cast("array<string>")
+    solved = _solve(scratch, one.select("*", F.lit(1).alias("hops"), F.col("node").alias("least"), via.alias("via")), 0, fragment_rows, hot, paths)
+    if not paths:
+        solved, n = scratch.put_counted(solved.select("tree", "node", "root", "depth"), round_=F.count_if(F.col("depth") < 0))
+        if not n["round_"]:
+            return solved
+        ringed = one.join(solved.filter("depth < 0").select("tree", "node"), ["tree", "node"], "left_semi")
+        again = hierarchy(ringed, "node", "parent", "tree", fragment_rows, hot).select("tree", "node", "root", "depth")
+        return solved.filter("depth >= 0").unionByName(again)
     return solved.select("tree", "node", F.col("path")[0].alias("parent"), "root", "depth", "path")
 
 

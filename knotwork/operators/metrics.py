@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.ranking import running_sums
+from knotwork.session import Scratch
 
 HITS = [1, 3, 5, 10, 20]
 
@@ -37,41 +38,78 @@ def auc_block(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     negatives there is no row.
     """
     by = by or []
+    one = by or ["__all"]
     clean = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
     level = clean.groupBy(*by, "score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum(1 - F.col("positive").cast("long")).alias("q"))
-    if by:  # groups are few and small: a window per group
-        from pyspark.sql.window import Window
-
-        w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        cum = level.select("*", F.sum("p").over(w).alias("cum_p"), F.sum("q").over(w).alias("cum_q"))
-    else:
-        cum = running_sums(level, "score", ["p", "q"])
-    total = clean.groupBy(*by).agg(
-        F.sum(F.col("positive").cast("long")).alias("n_pos"), F.sum(1 - F.col("positive").cast("long")).alias("n_neg"), F.expr("percentile(CASE WHEN positive THEN score END, 0.5)").alias("med")
-    )
-    area = cum.groupBy(*by).agg(
-        F.sum(F.col("q") * (F.col("cum_p") - F.col("p") + F.col("p") / 2.0)).alias("u"), F.sum(F.col("p") * F.col("cum_p") / (F.col("cum_p") + F.col("cum_q"))).alias("ap")
-    )
-    above = clean.filter(~F.col("positive")).select(*by, F.col("score").alias("s"))
-    keyed = lambda df: df if by else df.withColumn("__one", F.lit(1))
-    on = by or ["__one"]
-    fpr = keyed(above).join(keyed(total).select(*on, "med"), on).groupBy(*on).agg(F.avg((F.col("s") >= F.col("med")).cast("double")).alias("fpr"))
-    joined = keyed(total).join(keyed(area), on).join(fpr, on).filter("n_pos > 0 AND n_neg > 0")
+    cum = running_sums(level, "score", ["p", "q"], by=by)
+    cum = Scratch(scores.sparkSession, "levels").put(cum if by else cum.withColumn("__all", F.lit(0)))
+    total = cum.groupBy(*one).agg(
+        F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
+        F.sum(F.col("q") * (F.col("cum_p") - F.col("p") + F.col("p") / 2.0)).alias("u"), F.sum(F.col("p") * F.col("cum_p") / (F.col("cum_p") + F.col("cum_q"))).alias("ap"),
+    ).filter("n_pos > 0 AND n_neg > 0")
+    # the median positive stands in the levels that cover the middle positions
+    at = lambda k: (F.col("cum_p") - F.col("p") < k) & (k <= F.col("cum_p"))
+    low, high = F.floor((F.col("n_pos") + 1) / 2), F.ceil((F.col("n_pos") + 1) / 2)
+    middle = _with_total(cum, total.select(*one, "n_pos"), by).groupBy(*one).agg((F.sum(F.when(at(low), F.col("score"))) / 2 + F.sum(F.when(at(high), F.col("score"))) / 2).alias("med"))
+    above = _with_total(cum, middle, by).groupBy(*one).agg(F.sum(F.when(F.col("score") >= F.col("med"), F.col("q")).otherwise(0)).alias("above"))
+    joined = total.join(above, one)
     floor = F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))
     ap = F.col("ap") / F.col("n_pos")
     return joined.select(
-        *by, _r(F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"), _r(ap).alias("auprc"), _r(floor).alias("floor"), _r(ap / floor).alias("auprc_over_floor"), _r(F.col("fpr")).alias("fpr_at_med"), "n_pos", "n_neg"
+        *by, _r(F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"), _r(ap).alias("auprc"), _r(floor).alias("floor"), _r(ap / floor).alias("auprc_over_floor"), _r(F.col("above") / F.col("n_neg")).alias("fpr_at_med"), "n_pos", "n_neg"
     )
 
 
-def bootstrap(values: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
-    """``metric, lo, hi``: 95 % interval of the mean reciprocal rank over resamples with replacement.
+def _with_total(levels: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Levels with the aggregates of their group; without groups the aggregate is one value, put in as such."""
+    if by:
+        return levels.join(totals, by)
+    name = next(c for c in totals.columns if c != "__all")
+    return levels.withColumn(name, totals.agg(F.max(name)).scalar())
+
+
+def draw(seed: int, *keys: Column) -> Column:
+    """A number of 32 bits from the hash of the keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint")
+
+
+def _interval(per: DataFrame, metric: str) -> DataFrame:
+    ci = per.agg(F.expr(f"percentile({metric}, array(0.025, 0.975))").alias("ci"))  # one value per resample
+    return ci.select(F.lit(metric).alias("metric"), _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))
+
+
+#: statistics of a resample that ``bootstrap`` knows, as SQL over the column ``rank``
+STATS = {"mrr": "avg(1.0D / rank)", "mean_rank": "avg(rank)", **{f"hits_{k}": f"avg(double(rank <= {k}))" for k in HITS}}
+
+
+def bootstrap(values: DataFrame, replicates: int = 1_000, stats: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """``metric, lo, hi``: 95 % intervals over resamples with replacement (``stats``: names of STATS).
 
     Values (``rk`` from 1, ``n``, ``rank``) are drawn by hash; the draws are one
-    equi-join, not a loop.
+    equi-join, not a loop.  No values give no row.
     """
+    stats = stats or ["mrr"]
     slots = values.select("rk", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("rk").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n") + 1
-    drawn = slots.select("b", draw.alias("rk")).join(values.select("rk", "rank"), "rk")
-    per = drawn.groupBy("b").agg(F.avg(1.0 / F.col("rank")).alias("m"))
-    return per.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("ci")).select(F.lit("mrr").alias("metric"), _r(F.col("ci")[0]).alias("lo"), _r(F.col("ci")[1]).alias("hi"))
+    drawn = slots.select("b", (draw(seed, F.col("b"), F.col("rk")) % F.col("n") + 1).alias("rk")).join(values.select("rk", "rank"), "rk")
+    per = drawn.groupBy("b").agg(*[F.expr(STATS[s]).alias(s) for s in stats])
+    out = None
+    for s in stats:
+        out = _interval(per, s) if out is None else out.unionByName(_interval(per, s))
+    return out
+
+
+def bootstrap_auc(scores: DataFrame, replicates: int = 1_000, seed: int = 42) -> DataFrame:
+    """``metric, lo, hi`` of AUROC and average precision, positives and negatives resampled each by themselves.
+
+    ``scores``: rk (from 1 within its class), n (size of the class), positive, score.
+    """
+    slots = scores.select("rk", "n", "positive", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    drawn = slots.select("b", "positive", (draw(seed, F.col("b"), F.col("positive").cast("int"), F.col("rk")) % F.col("n") + 1).alias("rk")).join(scores.select("positive", "rk", "score"), ["positive", "rk"])
+    per = Scratch(scores.sparkSession, "resamples").put(auc_block(drawn, ["b"]))
+    return _interval(per, "auroc").unionByName(_interval(per, "auprc"))
+
+
+def gap(blocks: DataFrame) -> DataFrame:
+    """``side, mrr_gap, mean_rank_gap``: micro less macro of ``rank_block``."""
+    of = lambda c, k: F.max(F.when(F.col("level") == k, F.col(c)))
+    return blocks.groupBy("side").agg(*[_r(of(c, "micro") - of(c, "macro")).alias(f"{c}_gap") for c in ("mrr", "mean_rank")])

@@ -14,6 +14,12 @@ def hash_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def fraction_of(seed: int, *keys: Column) -> Column:
+    """Number in [0, 1) from the hash of the keys."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
 def hash_rank(df: DataFrame, keys: list[str], seed: int = 42, within: list[str] | None = None) -> DataFrame:
     """Adds ``rk`` (from 1) in hash order and ``n``, over all rows or those with equal ``within``.
 
@@ -36,19 +42,20 @@ def fold(train: float, valid: float) -> Column:
     return F.when(F.col("rk") <= a, "train").when(F.col("rk") <= a + F.bround(F.col("n") * valid), "valid").otherwise("test")
 
 
-def running_sums(df: DataFrame, order: str, values: list[str], descending: bool = True) -> DataFrame:
-    """Adds ``cum_<v>`` for each value: the sum over rows up to and with this one, ``order`` being unique.
+def running_sums(df: DataFrame, order: str, values: list[str], descending: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Adds ``cum_<v>`` for each value: the sum over rows up to and with this one, ``order`` being unique (within ``by``).
 
-    Rows are dealt by ranges of ``order``; each range is summed alone and
-    shifted by the sums of the ranges before.
+    Rows are dealt by ranges of ``by`` and ``order``; each range is summed alone
+    and shifted by the sums of the ranges before, so a group of any size is cut.
     """
+    by = by or []
     spark = df.sparkSession
-    by = F.desc(order) if descending else F.asc(order)
+    o = F.desc(order) if descending else F.asc(order)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = Scratch(spark, "running").put(df.repartitionByRange(parts, by).withColumn("__p", F.spark_partition_id()))
-    totals = ranged.groupBy("__p").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    shift = totals.select("__p", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values])
-    inside = Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.select("*", *[F.sum(v).over(inside).alias(f"__i_{v}") for v in values]).join(shift, "__p")
+    ranged = Scratch(spark, "running").put(df.repartitionByRange(parts, *by, o).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "__p").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range and group
+    shift = totals.select(*by, "__p", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values])
+    inside = Window.partitionBy(*by, "__p").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.select("*", *[F.sum(v).over(inside).alias(f"__i_{v}") for v in values]).join(shift, [*by, "__p"])
     return out.select(*df.columns, *[(F.col(f"__i_{v}") + F.col(f"__s_{v}")).alias(f"cum_{v}") for v in values])

@@ -9,7 +9,7 @@ from knotwork.functions.scalars import namespace_of
 from knotwork.operators.components import components
 
 # Name spaces in the order in which a cluster's name is chosen.
-CANONICAL_ORDER = ["HMDB", "CHEBI", "PUBCHEM", "KEGG", "VMH_MET", "MESH"]
+CANONICAL_ORDER = ["HMDB", "CHEBI", "PUBCHEM", "KEGG", "VMH_MET", "MESH", "GMNAME"]
 
 
 def star_pairs(ids: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.operators.ranking import fraction_of, running_sums
 from knotwork.operators.splits import fraction
 
 
@@ -69,20 +70,34 @@ def random_scores(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return pairs.select("h", "t").distinct().withColumn("score", fraction(seed, "h", "t"))
 
 
+#: scorers of pairs over an adjacency, by name
 SCORERS = {"CN": common_neighbours, "RA": resource_allocation, "L3": l3}
 
 
+def outside(pairs: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """``n, n_oov``: distinct pairs, and those with an end that the graph does not have (their structural scores are 0)."""
+    nodes = adjacency.select("a").distinct()
+    inside = lambda c: nodes.select(F.col("a").alias(c), F.lit(True).alias(f"in_{c}"))
+    known = pairs.select("h", "t").distinct().join(inside("h"), "h", "left").join(inside("t"), "t", "left")
+    return known.agg(F.count("*").alias("n"), F.count_if(F.col("in_h").isNull() | F.col("in_t").isNull()).alias("n_oov"))
+
+
 def row_scores(queries: DataFrame, adjacency: DataFrame, kind: str = "RA", pool: DataFrame | None = None) -> DataFrame:
-    """``q, c, s``: all candidates that a query node reaches over two steps, with CN or RA score above 0.
+    """``q, c, s``: all candidates that a query node reaches over two steps (three for L3), with a CN, RA or L3 score above 0.
 
     With ``pool`` (column ``c``) only its nodes are reached; degrees are those of the whole graph.
     """
-    weight = with_degree(adjacency).select(F.col("node").alias("b"), (F.lit(1.0) if kind == "CN" else 1.0 / F.col("deg")).alias("w"))
+    deg = with_degree(adjacency)
+    worth = {"CN": F.lit(1.0), "RA": 1.0 / F.col("deg"), "L3": 1.0 / F.sqrt("deg")}[kind]
+    weight = deg.select(F.col("node").alias("b"), worth.alias("w"))
     one = queries.select("q").distinct().join(adjacency, F.col("q") == F.col("a")).select("q", "b").join(weight, "b").select("q", F.col("b").alias("mid"), "w")
-    two = adjacency.select(F.col("a").alias("mid"), F.col("b").alias("c"))
+    last = adjacency.select(F.col("a").alias("mid"), F.col("b").alias("c"))
     if pool is not None:
-        two = two.join(pool.select("c").distinct(), "c", "left_semi")
-    return one.join(two, "mid").groupBy("q", "c").agg(F.round(F.sum("w"), 9).alias("s"))
+        last = last.join(pool.select("c").distinct(), "c", "left_semi")
+    if kind == "L3":
+        two = one.join(adjacency.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").groupBy("q", F.col("y").alias("mid")).agg(F.sum("w").alias("w"))
+        one = two.join(weight.select(F.col("b").alias("mid"), F.col("w").alias("w2")), "mid").select("q", "mid", (F.col("w") * F.col("w2")).alias("w"))
+    return one.join(last, "mid").groupBy("q", "c").agg(F.round(F.sum("w"), 9).alias("s"))
 
 
 def filtered_ranks(test: DataFrame, known: DataFrame, pool: DataFrame, scores: DataFrame) -> DataFrame:
@@ -93,27 +108,57 @@ def filtered_ranks(test: DataFrame, known: DataFrame, pool: DataFrame, scores: D
     and candidates is built.  ``known``: distinct (q, c); ``pool``: distinct c;
     ``scores``: (q, c, s) with s > 0.
     """
-    t = test.select("q", "target").distinct()
-    n_pool = pool.count()  # one number
-    in_pool = pool.select("c").distinct()
-    k = known.select("q", "c").distinct().join(in_pool, "c", "left_semi").join(t.select("q").distinct(), "q", "left_semi")
+    t, size_of, k, in_pool = _asked(test, known, pool)
     scored = scores.join(in_pool, "c", "left_semi").join(t.select("q").distinct(), "q", "left_semi")
-    n_known = k.groupBy("q").agg(F.count("*").alias("nk"))
     free = scored.join(k, ["q", "c"], "left_anti")
-    target = t.join(scored.select("q", F.col("c").alias("target"), F.col("s").alias("ts")), ["q", "target"], "left").join(k.select("q", F.col("c").alias("target"), F.lit(1).alias("tk")), ["q", "target"], "left")
-    target = target.join(in_pool.select(F.col("c").alias("target"), F.lit(1).alias("tp")), "target", "left").join(n_known, "q", "left").na.fill(0, ["nk", "tk", "tp"]).na.fill(0.0, ["ts"])
+    target = size_of.join(scored.select("q", F.col("c").alias("target"), F.col("s").alias("ts")), ["q", "target"], "left").na.fill(0.0, ["ts"])
     # free candidates of a query never include its known ones, but may include a target that is not known
     per_score = free.groupBy("q", "s").agg(F.count("*").alias("m"))
-    hit = target.join(per_score, "q", "left").groupBy("q", "target", "ts", "nk", "tk", "tp").agg(
+    hit = target.join(per_score, "q", "left").groupBy("q", "target", "ts", "size", "self_free").agg(
         F.coalesce(F.sum(F.when(F.col("s") > F.col("ts"), F.col("m"))), F.lit(0)).alias("more"), F.coalesce(F.sum(F.when(F.col("s") == F.col("ts"), F.col("m"))), F.lit(0)).alias("same"), F.coalesce(F.sum("m"), F.lit(0)).alias("some")
     )
-    # the target itself is no candidate against itself
-    self_free = (F.col("tp") == 1) & (F.col("tk") == 0)
-    size = F.lit(n_pool) - F.col("nk") - F.when(self_free, 1).otherwise(0)
-    same = F.when(F.col("ts") > 0, F.col("same") - F.when(self_free, 1).otherwise(0)).otherwise(size - F.col("some"))
+    same = F.when(F.col("ts") > 0, F.col("same") - F.col("self_free")).otherwise(F.col("size") - F.col("some"))
     return hit.select("q", "target", (1.0 + F.col("more") + same / 2.0).alias("rank"))
 
 
+def _asked(test: DataFrame, known: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(test pairs, the same with ``size`` (candidates beside the target) and ``self_free``, known pairs in question, pool)."""
+    t = test.select("q", "target").distinct()
+    in_pool = pool.select("c").distinct()
+    k = known.select("q", "c").distinct().join(in_pool, "c", "left_semi").join(t.select("q").distinct(), "q", "left_semi")
+    n_known = k.groupBy("q").agg(F.count("*").alias("nk"))
+    marked = t.join(k.select("q", F.col("c").alias("target"), F.lit(1).alias("tk")), ["q", "target"], "left").join(in_pool.select(F.col("c").alias("target"), F.lit(1).alias("tp")), "target", "left")
+    marked = marked.join(n_known, "q", "left").na.fill(0, ["nk", "tk", "tp"])
+    # the target itself is no candidate against itself
+    self_free = F.when((F.col("tp") == 1) & (F.col("tk") == 0), 1).otherwise(0)
+    n_pool = in_pool.agg(F.count("*")).scalar()  # part of the same plan
+    return t, marked.select("q", "target", self_free.alias("self_free"), (n_pool - F.col("nk") - self_free).alias("size")), k, in_pool
+
+
+def node_ranks(test: DataFrame, known: DataFrame, pool: DataFrame, scores: DataFrame) -> DataFrame:
+    """``q, target, rank`` where a candidate's score does not depend on the query (``c, s``; 0 where it has none).
+
+    The pool is counted per score once; of each query only its known targets are taken off.
+    """
+    t, size_of, k, in_pool = _asked(test, known, pool)
+    valued = in_pool.join(scores.select("c", "s"), "c", "left").na.fill(0, ["s"])
+    level = valued.groupBy("s").agg(F.count("*").alias("m"))
+    levels = running_sums(level, "s", ["m"])
+    target = size_of.join(valued.select(F.col("c").alias("target"), F.col("s").alias("ts")), "target", "left").join(scores.select(F.col("c").alias("target"), F.col("s").alias("ts2")), "target", "left")
+    target = target.withColumn("ts", F.coalesce("ts", "ts2", F.lit(0))).drop("ts2")
+    off = target.select("q", "target", "ts").join(k.join(valued, "c"), "q").filter("c <> target").groupBy("q", "target").agg(F.count_if(F.col("s") > F.col("ts")).alias("km"), F.count_if(F.col("s") == F.col("ts")).alias("ks"))
+    own = in_pool.select(F.col("c").alias("target"), F.lit(1).alias("own"))
+    at = target.join(levels.select(F.col("s").alias("ts"), "m", "cum_m"), "ts", "left").join(off, ["q", "target"], "left").join(own, "target", "left").na.fill(0, ["m", "cum_m", "km", "ks", "own"])
+    return at.select("q", "target", (1.0 + (F.col("cum_m") - F.col("m") - F.col("km")) + (F.col("m") - F.col("own") - F.col("ks")) / 2.0).alias("rank"))
+
+
+def random_ranks(test: DataFrame, known: DataFrame, pool: DataFrame, side: str, seed: int = 42) -> DataFrame:
+    """``q, target, rank`` of a scorer that knows nothing: one of the places among the candidates, by the hash of side and pair."""
+    _, size_of, _, _ = _asked(test, known, pool)
+    x = fraction_of(seed, F.lit(side), F.col("q"), F.col("target"))
+    return size_of.select("q", "target", (1.0 + F.floor(x * (F.col("size") + 1))).alias("rank"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -123,3 +123,16 @@ def capacity_layers(query: DataFrame, capable: DataFrame, lines: DataFrame) -> D
     own = capable.select("microbe", F.lit(True).alias("own")).distinct()
     layer = F.when(F.col("own"), "has_own_capacity").when(F.col("nearest_shared_rank") != "none", "tax_only").otherwise("no_capacity")
     return rank.join(own, "microbe", "left").select("microbe", layer.alias("capacity_layer"), "nearest_shared_rank")
+
+
+def halves(pairs: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
+    """The distinct pairs with ``fold``: the first half in hash order is valid, the other test."""
+    ranked = hash_rank(pairs.select(*key).distinct(), key, seed)
+    return ranked.select(*key, F.when(F.col("rk") <= F.bround(F.col("n") * 0.5), "valid").otherwise("test").alias("fold"))
+
+
+def valid_or_slice(valid: DataFrame | None, train: DataFrame, key: list[str], share: float = 0.02, most: int = 5_000, seed: int = 42) -> DataFrame:
+    """The given validation rows, or, without any, a slice of train in hash order (at least one row, at most ``most``)."""
+    if valid is not None and not valid.isEmpty():
+        return valid.select(*key)
+    return hash_rank(train.select(*key), key, seed).filter(F.col("rk") <= F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("n") * share)))).select(*key)

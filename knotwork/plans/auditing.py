@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import audit as A
 from knotwork.operators.splits import RANKS, of
-from knotwork.plans.common import kg, with_kg
+from knotwork.plans.common import kg, kg_raw, with_kg, with_raw
 from knotwork.plans.splitting import MEDIATORS, TRANS, mediators, transductive
 from knotwork.session import Scratch
 
@@ -34,13 +34,6 @@ def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 _PARTS = f"{TRANS}, train AS (SELECT * FROM tr WHERE fold = 'train'), test AS (SELECT * FROM tr WHERE fold = 'test')"
 
 
-@query(with_kg(f"{_PARTS} SELECT (SELECT count(*) FROM test WHERE EXISTS (SELECT 1 FROM train t WHERE t.head_id = test.head_id AND t.relation = test.relation AND t.tail_id = test.tail_id)) AS n_duplicate, count(*) AS n_test FROM test"))
-def leak_duplicate(spark: SparkSession, d: str) -> DataFrame:
-    _, train, test = parts(spark, d)
-    hit = A.duplicates(test, train).select(F.lit(1).alias("dup"), F.lit(0).alias("t"))
-    return hit.unionByName(test.select(F.lit(0).alias("dup"), F.lit(1).alias("t"))).agg(F.sum("dup").alias("n_duplicate"), F.sum("t").alias("n_test"))
-
-
 _ROWS = "rws AS (SELECT *, CASE WHEN md5('7|' || head_id || '|' || relation || '|' || tail_id) < '2' THEN 'test' ELSE 'train' END AS f FROM kg WHERE relation IN ('enriched_in', 'depleted_in', 'inconsistent_association', 'produces', 'can_utilize'))"
 
 
@@ -51,6 +44,13 @@ def _rows(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.filter(~is_test), r.filter(is_test)
 
 
+@query(with_raw("SELECT DISTINCT head_id, relation, tail_id FROM raw WHERE split_name = 'test' INTERSECT SELECT head_id, relation, tail_id FROM raw WHERE split_name = 'train'"))
+def leak_duplicate(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of test records that train records state too, word for word in normal form."""
+    raw = kg_raw(spark, d)
+    return A.duplicates(raw.filter("split_name = 'test'"), raw.filter("split_name = 'train'")).select("head_id", "relation", "tail_id").distinct()
+
+
 @query(
     with_kg(
         f"{_ROWS} SELECT a.head_id, a.relation, a.tail_id, string_agg(DISTINCT b.relation, '|' ORDER BY b.relation) AS other_relations FROM (SELECT DISTINCT head_id, relation, tail_id FROM rws WHERE f = 'test') a"
@@ -74,10 +74,10 @@ def _taxonomy(e: DataFrame) -> DataFrame:
     return A.symmetric(of(e, "is_strain_of", "belongs_to_genus"))
 
 
-@query(with_kg(f"{_PARTS}, {_HOPS} SELECT 'head' AS side, hop, count(*) AS n FROM leak GROUP BY 2"))
+@query(with_kg(f"{_PARTS}, {_HOPS} SELECT head_id, relation, tail_id, hop FROM leak"))
 def leak_closure(spark: SparkSession, d: str) -> DataFrame:
     e, train, test = parts(spark, d)
-    return A.closure_leak(test, train, _taxonomy(e), "head", 2).groupBy(F.lit("head").alias("side"), "hop").agg(F.count("*").alias("n"))
+    return A.closure_leak(test, train, _taxonomy(e), "head", 2)
 
 
 _FREE = (
@@ -89,17 +89,16 @@ _FREE = (
 
 @query(
     with_kg(
-        f"{_FREE}, l1 AS (SELECT * FROM leak WHERE hop = 1) SELECT 'train' AS file, (SELECT count(*) FROM train0) AS n_before, (SELECT count(*) FROM train) AS n_after UNION ALL"
-        " SELECT 'test', count(*), count(*) FILTER (NOT EXISTS (SELECT 1 FROM l1 WHERE l1.head_id = test.head_id AND l1.relation = test.relation AND l1.tail_id = test.tail_id)) FROM test"
+        f"{_FREE}, l1 AS (SELECT * FROM leak WHERE hop = 1) SELECT 'train' AS file, head_id, relation, tail_id FROM train UNION ALL"
+        " SELECT 'test', head_id, relation, tail_id FROM test WHERE NOT EXISTS (SELECT 1 FROM l1 WHERE l1.head_id = test.head_id AND l1.relation = test.relation AND l1.tail_id = test.tail_id)"
     )
 )
 def leakage_free(spark: SparkSession, d: str) -> DataFrame:
     e, train, test = parts(spark, d)
     hard = of(e, "does_not_utilize").select("head_id", "tail_id").unionByName(of(transductive(e), "inconsistent_association").select("head_id", "tail_id"))
     tr, te = A.leakage_free(train, test, hard, _taxonomy(e), ["enriched_in", "depleted_in"])
-    tag = lambda df, f, c: df.select(F.lit(f).alias("file"), F.lit(c).alias("c"))
-    every = tag(train, "train", "before").unionByName(tag(tr, "train", "after")).unionByName(tag(test, "test", "before")).unionByName(tag(te, "test", "after"))
-    return every.groupBy("file").agg(F.count_if(F.col("c") == "before").alias("n_before"), F.count_if(F.col("c") == "after").alias("n_after"))
+    tag = lambda df, f: df.select(F.lit(f).alias("file"), "head_id", "relation", "tail_id")
+    return tag(tr, "train").unionByName(tag(te, "test"))
 
 
 # The microbe taxonomy.

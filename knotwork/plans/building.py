@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.missing import is_missing
 from knotwork.operators import build as B
-from knotwork.plans.common import kg, kg_raw, sources_of, with_kg, with_raw
+from knotwork.operators.records import key_values
+from knotwork.plans.common import kg, kg_raw, merged, sources_of, with_kg, with_raw
 from knotwork.plans.sqlnorm import id_sql, missing_sql
 from knotwork.functions.ids import normal_id
 from knotwork.sources import table
@@ -30,10 +31,10 @@ def edges_scan(spark: SparkSession, d: str) -> DataFrame:
     return kg_raw(spark, d).groupBy("relation", "head_type", "tail_type").agg(F.count("*").alias("n"))
 
 
-@query(with_raw("SELECT head_id, head_type, CASE WHEN relation = 'inconsistent_association' THEN 'associated_with_disease' ELSE relation END AS relation, tail_id, tail_type, confidence, species_source, source, CASE WHEN evidence = '' THEN 'note=' ELSE evidence END AS evidence FROM raw"))
+@query(with_raw("SELECT head_id, head_type, CASE WHEN relation = 'inconsistent_association' THEN 'associated_with_disease' ELSE relation END AS relation, tail_id, tail_type, confidence, species_source, source, 'species=' || species_source || '|confidence=' || confidence || '|note=' || evidence AS evidence FROM raw"))
 def kg_standardize(spark: SparkSession, d: str) -> DataFrame:
     raw = B.standardize(table(spark, d, "final_kg_edges"), recode={"inconsistent_association": "associated_with_disease"})
-    return raw.drop("edge_id", "split_name").withColumn("evidence", F.when(F.col("evidence") == "", F.concat(F.lit("note="), F.col("evidence"))).otherwise(F.col("evidence")))
+    return raw.drop("edge_id", "split_name").withColumn("evidence", key_values({"species": F.col("species_source"), "confidence": F.col("confidence"), "note": F.col("evidence")}))
 
 
 _MAP = f"m AS (SELECT o AS original_id, min(c) AS canonical_id FROM (SELECT {id_sql('original_id')} AS o, {id_sql('canonical_id')} AS c FROM metabolite_canonical) WHERE o IS NOT NULL AND c IS NOT NULL GROUP BY 1)"
@@ -52,23 +53,22 @@ def remap_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_kg("SELECT * FROM kg"))
 def kg_merge(spark: SparkSession, d: str) -> DataFrame:
-    return kg(spark, d)
+    return merged(spark, d)
 
 
-def _counts(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    a = edges.groupBy("relation").agg(F.count("*").alias("n_all"))
-    b = kept.groupBy("relation").agg(F.count("*").alias("n_kept"))
-    return a.join(b, "relation", "left").select("relation", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.col("n_all") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+def _kept_sql(ctes: str, bad: str) -> str:
+    return with_kg(f"{ctes}k AS (SELECT *, ({bad}) AS bad FROM kg) SELECT head_id, head_type, relation, tail_id, tail_type, bad AS removed FROM k")
 
 
-def _kept_sql(ctes: str, bad: str) -> str:
-    return with_kg(f"{ctes}k AS (SELECT *, ({bad}) AS bad FROM kg) SELECT relation, count(*) FILTER (NOT bad) AS n_kept, count(*) FILTER (bad) AS n_removed FROM k GROUP BY 1")
+def _marked(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every edge and whether the purge took it."""
+    return edges.select(*B.KEY).join(kept.select(*B.KEY, F.lit(False).alias("k")), B.KEY, "left").select(*B.KEY, F.col("k").isNull().alias("removed"))
 
 
 @query(_kept_sql("", "(head_type = 'microbe' AND regexp_matches(head_id, '^(VMH|UNMAPPED):')) OR (tail_type = 'microbe' AND regexp_matches(tail_id, '^(VMH|UNMAPPED):'))"))
 def purge_prefix(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return _counts(e, B.purge_prefix(e, "microbe", ["VMH:", "UNMAPPED:"]))
+    return _marked(e, B.purge_prefix(e, "microbe", ["VMH:", "UNMAPPED:"]))
 
 
 _ENDS = "ends AS (SELECT head_id AS node_id, head_type AS node_type, source FROM kg UNION ALL SELECT tail_id, tail_type, source FROM kg)"
@@ -77,7 +77,7 @@ _ENDS = "ends AS (SELECT head_id AS node_id, head_type AS node_type, source FROM
 @query(_kept_sql(f"{_ENDS}, one AS (SELECT node_id FROM ends WHERE node_type = 'metabolite' GROUP BY 1 HAVING {sources_of()} = 'GMMAD'), ", "(head_type = 'metabolite' AND head_id IN (FROM one)) OR (tail_type = 'metabolite' AND tail_id IN (FROM one))"))
 def purge_single_source(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return _counts(e, B.drop_nodes(e, B.single_source_nodes(e, "metabolite", "GMMAD"), "metabolite"))
+    return _marked(e, B.drop_nodes(e, B.single_source_nodes(e, "metabolite", "GMMAD"), "metabolite"))
 
 
 _UNANCHORED = (
@@ -89,7 +89,7 @@ _UNANCHORED = (
 @query(_kept_sql(_UNANCHORED, "(head_type = 'disease' AND head_id IN (FROM bad)) OR (tail_type = 'disease' AND tail_id IN (FROM bad))"))
 def purge_unanchored(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return _counts(e, B.drop_nodes(e, B.unanchored_diseases(e), "disease"))
+    return _marked(e, B.drop_nodes(e, B.unanchored_diseases(e), "disease"))
 
 
 _CLASS = "CASE x " + " ".join(f"WHEN '{s}' THEN '{c}'" for s, c in B.SOURCE_CLASS.items()) + " ELSE 'unknown' END"

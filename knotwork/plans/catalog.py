@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from knotwork.plans import auditing, building, hierarchies, resolving, scoring, splitting, statistics
+from knotwork.plans import auditing, building, hierarchies, records, resolving, scoring, splitting, statistics
 
-MODULES = [hierarchies, building, resolving, splitting, auditing, scoring, statistics]
+MODULES = [hierarchies, building, records, resolving, splitting, auditing, scoring, statistics]
 
 
 def queries() -> dict:

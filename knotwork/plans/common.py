@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from knotwork.operators.build import KEY as _KEY
 from knotwork.operators.build import merge_edges, standardize
 from knotwork.plans.sqlnorm import facts_sql, missing_sql
-from knotwork.sources import table
+from knotwork.session import shared_table
+from knotwork.sources import table, version
 
 _RAW = ["edge_id", "split_name", "head_id", "head_type", "relation", "tail_id", "tail_type", "confidence", "species_source", "source", "evidence"]
 
@@ -16,11 +18,17 @@ def kg_raw(spark: SparkSession, d: str) -> DataFrame:
     return standardize(table(spark, d, "final_kg_edges").select(*_RAW))
 
 
-def kg(spark: SparkSession, d: str) -> DataFrame:
-    """The merged edges."""
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    """The merged edges, computed."""
     return merge_edges(kg_raw(spark, d))
 
 
+def kg(spark: SparkSession, d: str) -> DataFrame:
+    """The merged edges as a table by relation, written once per state of the source files: a filter on ``relation`` reads only its folders."""
+    columns = [*_KEY, "confidence", "species_source", "source", "evidence"]
+    return shared_table(spark, f"kg:{version(spark, d, 'final_kg_edges')}", lambda scratch: scratch.put(merged(spark, d), by="relation")).select(*columns)
+
+
 def _blank(c: str) -> str:
     return f"CASE WHEN {missing_sql(c)} THEN '' ELSE trim({c}) END"
 

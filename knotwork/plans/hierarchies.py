@@ -14,15 +14,27 @@ from knotwork.sources import table
 PARENT_RELATIONS = ["is_a", "is_strain_of"]
 
 
-def _solved(spark: SparkSession, d: str) -> DataFrame:
+def _links(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "final_kg_edges").select("head_id", "head_type", "relation", "tail_id", "tail_type")
-    links = fact_columns(edges).filter(F.col("relation_n").isin(PARENT_RELATIONS)).select("relation_n", "head_n", "tail_n")
-    return hierarchy(links, "head_n", "tail_n", "relation_n")
+    return fact_columns(edges).filter(F.col("relation_n").isin(PARENT_RELATIONS)).select("relation_n", "head_n", "tail_n")
+
+
+def _solved(spark: SparkSession, d: str, **how) -> DataFrame:
+    return hierarchy(_links(spark, d), "head_n", "tail_n", "relation_n", **how)
+
+
+def _rooted(solved: DataFrame) -> DataFrame:
+    return solved.select(F.col("tree").alias("relation"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Root and depth of every node with a parent; circles reported by depth -1 and -2."""
-    return _solved(spark, d).select(F.col("tree").alias("relation"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth")
+    return _rooted(_solved(spark, d, paths=False))
+
+
+def hierarchy_contracted(spark: SparkSession, d: str) -> DataFrame:
+    """As p1_found with small fragments, so that every level of the contraction is at work on small tables too."""
+    return _rooted(_solved(spark, d, fragment_rows=60, paths=False))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -31,12 +43,7 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of every node, with their distance."""
-    return descendants(_solved(spark, d).filter("depth > 0")).select(F.col("tree").alias("relation"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"), "distance")
-
-
-def p1_descendants_all(spark: SparkSession, d: str) -> DataFrame:
-    """All descendants of every node, nodes on circles and below them included; a path goes once round a circle."""
+    """All descendants of every node with their distance, on and below circles too; a path goes once round a circle."""
     return descendants(_solved(spark, d)).select(F.col("tree").alias("relation"), F.col("ancestor").alias("ancestor_id"), F.col("node").alias("node_id"), "distance")
 
 
@@ -53,9 +60,10 @@ _TOP = (
     " CASE WHEN cur = node THEN -1 WHEN list_contains(seen, cur) THEN -2 ELSE steps END AS depth FROM ended)"
 )
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p1_descendants_all": p1_descendants_all}
+QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "hierarchy_contracted": hierarchy_contracted}
 SQL = {
     "p1_found": f"{_WALK}{_TOP} SELECT relation, node_id, root_id, CAST(depth AS INTEGER) AS depth FROM res",
     "p1_paths": f"{_WALK}{_TOP} SELECT relation, node_id, array_to_string(CASE WHEN cur = node_id THEN list_append(seen, node_id) WHEN ring THEN seen ELSE list_append(seen, cur) END, '>') AS path FROM res",
-    "p1_descendants": f"{_WALK}{_TOP} SELECT w.relation, w.cur AS ancestor_id, w.node AS node_id, CAST(w.steps AS INTEGER) AS distance FROM walk w JOIN res r ON r.relation = w.relation AND r.node_id = w.node AND r.depth > 0",
+    "p1_descendants": f"{_WALK}{_TOP} SELECT w.relation, w.cur AS ancestor_id, w.node AS node_id, CAST(w.steps AS INTEGER) AS distance FROM walk w WHERE w.cur = w.node OR NOT list_contains(w.seen, w.cur)",
 }
+SQL["hierarchy_contracted"] = SQL["p1_found"]

@@ -100,7 +100,7 @@ def xref_resolve(spark: SparkSession, d: str) -> DataFrame:
     return resolve_by_priority(c.filter("id IS NOT NULL AND other IS NOT NULL AND id <> other"), ["HMDB", "CHEBI", "PUBCHEM", "KEGG", "MESH"])
 
 
-_RANK = "CASE string_split(id, ':')[1] WHEN 'HMDB' THEN 0 WHEN 'CHEBI' THEN 1 WHEN 'PUBCHEM' THEN 2 WHEN 'KEGG' THEN 3 WHEN 'VMH_MET' THEN 4 WHEN 'MESH' THEN 5 ELSE 99 END"
+_RANK = "CASE string_split(id, ':')[1] WHEN 'HMDB' THEN 0 WHEN 'CHEBI' THEN 1 WHEN 'PUBCHEM' THEN 2 WHEN 'KEGG' THEN 3 WHEN 'VMH_MET' THEN 4 WHEN 'MESH' THEN 5 WHEN 'GMNAME' THEN 6 ELSE 99 END"
 _CLUSTERS = (
     f"WITH RECURSIVE pairs AS (SELECT DISTINCT {id_sql('original_id')} AS a, {id_sql('canonical_id')} AS b FROM metabolite_canonical), ids AS (SELECT a AS id FROM pairs WHERE a IS NOT NULL UNION SELECT b FROM pairs WHERE b IS NOT NULL),"
     " ends AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b), reach AS (SELECT id, id AS name FROM ids UNION SELECT e.b, r.name FROM reach r JOIN ends e ON e.a = r.id),"

@@ -15,8 +15,8 @@ from knotwork.operators.ranking import hash_rank
 from knotwork.operators.splits import of, without_triples
 from knotwork.plans.common import kg, with_kg
 from knotwork.plans.splitting import ASSOCIATIONS, TRANS, transductive
-from knotwork.session import Scratch
-from knotwork.sources import table
+from knotwork.session import Scratch, shared_table
+from knotwork.sources import table, version
 
 QUERIES, SQL = {}, {}
 # The graph of the SQL oracles.  The full graphs are too dense for SQL on whole tables; their queries have the suffix of the scope.
@@ -36,30 +36,41 @@ def query(sql: str | None):
 
 
 def _edges(spark: SparkSession, d: str, scope: str) -> DataFrame:
-    """The merged edges; written once for the full graphs, whose plans would merge them at every use."""
-    e = kg(spark, d)
-    return e if scope == "oracle" else Scratch(spark, "edges").put(e.select("head_id", "relation", "tail_id"))
+    """Distinct edges of the scope (see ``_graph``), read from the merged table by relation."""
+    e = kg(spark, d).select("head_id", "head_type", "relation", "tail_id", "tail_type")
+    return e if scope == "bridges" else of(e, *sorted({*ASSOCIATIONS, *(GRAPH if scope == "oracle" else AUX)}))
 
 
-def _folds(e: DataFrame, scope: str) -> DataFrame:
-    t = transductive(e)
-    return t if scope == "oracle" else Scratch(e.sparkSession, "folds").put(t.select("head_id", "relation", "tail_id", "fold"))
+def _shared(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    return shared_table(spark, f"{name}:{version(spark, d, 'final_kg_edges')}", lambda scratch: scratch.put(make()))
 
 
-def _graph(e: DataFrame, scope: str = "oracle") -> tuple[DataFrame, DataFrame]:
-    """(train edges, test pairs h, t of enriched_in and depleted_in).
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    """The associations with their fold, written once: every query over the split reads it."""
+    return _shared(spark, d, "folds", lambda: transductive(kg(spark, d)).select("head_id", "relation", "tail_id", "fold"))
+
+
+def _graph(spark: SparkSession, d: str, scope: str = "oracle") -> tuple[DataFrame, DataFrame]:
+    """(train edges, test pairs h, t of enriched_in and depleted_in), the train graph of a scope being written once.
 
     ``scope``: ``oracle`` has the relations of GRAPH, ``aux`` the associations,
     the taxonomy, is_a and co_occurs_with, ``bridges`` every relation.
     """
-    t = _folds(e, scope)
-    edges = {"oracle": lambda: of(e, *GRAPH), "aux": lambda: of(e, *ASSOCIATIONS, *AUX), "bridges": lambda: e}[scope]()
-    train = without_triples(edges, t.filter("fold <> 'train'"))
-    if scope != "oracle":
-        train = Scratch(e.sparkSession, "graph").put(train)
+    t = _folds(spark, d)
+
+    def make() -> DataFrame:
+        e = _edges(spark, d, scope)
+        return without_triples(of(e, *GRAPH) if scope == "oracle" else e, t.filter("fold <> 'train'"))
+
+    train = _shared(spark, d, f"graph-{scope}", make)
     return train, of(t.filter("fold = 'test'"), "enriched_in", "depleted_in").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct()
 
 
+def _adjacency(spark: SparkSession, d: str, scope: str = "oracle", relations: list[str] | None = None) -> DataFrame:
+    train, _ = _graph(spark, d, scope)
+    return _shared(spark, d, f"adjacency-{scope}-{'+'.join(relations or [])}", lambda: symmetric(of(train, *relations) if relations else train))
+
+
 _G = (
     f"{TRANS}, rem AS (SELECT DISTINCT head_id, relation, tail_id FROM tr WHERE fold <> 'train'), g AS (SELECT * FROM kg WHERE relation IN {_IN} AND NOT EXISTS (SELECT 1 FROM rem WHERE rem.head_id = kg.head_id AND rem.relation = kg.relation AND rem.tail_id = kg.tail_id)),"
     " adj AS (SELECT head_id AS a, tail_id AS b FROM g WHERE head_id <> tail_id UNION SELECT tail_id, head_id FROM g WHERE head_id <> tail_id), deg AS (SELECT a AS node, count(*) AS d FROM adj GROUP BY 1),"
@@ -70,14 +81,14 @@ _MID = "mid AS (SELECT h, t, x.b AS m FROM pairs JOIN adj x ON x.a = h JOIN adj
 
 @query(with_kg(f"{_G}, {_MID} SELECT h AS head, t AS tail, count(m) AS cn FROM pairs LEFT JOIN mid USING (h, t) GROUP BY 1, 2"))
 def structural_cn(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    train, pairs = _graph(_edges(spark, d, scope), scope)
-    return S.common_neighbours(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), "cn")
+    _, pairs = _graph(spark, d, scope)
+    return S.common_neighbours(pairs, _adjacency(spark, d, scope)).select(F.col("h").alias("head"), F.col("t").alias("tail"), "cn")
 
 
 @query(with_kg(f"{_G}, {_MID} SELECT h AS head, t AS tail, round(coalesce(sum(1.0::DOUBLE / d), 0), 6) AS ra FROM pairs LEFT JOIN mid USING (h, t) LEFT JOIN deg ON node = m GROUP BY 1, 2"))
 def structural_ra(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    train, pairs = _graph(_edges(spark, d, scope), scope)
-    return S.resource_allocation(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("ra", 6).alias("ra"))
+    _, pairs = _graph(spark, d, scope)
+    return S.resource_allocation(pairs, _adjacency(spark, d, scope)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("ra", 6).alias("ra"))
 
 
 _L3 = "w2 AS (SELECT h, y.b AS y, sum(1.0::DOUBLE / sqrt(d)) AS w FROM (SELECT DISTINCT h FROM pairs) JOIN adj x ON x.a = h JOIN deg ON node = x.b JOIN adj y ON y.a = x.b GROUP BY 1, 2), l3 AS (SELECT h, t, sum(w / sqrt(d)) AS s FROM pairs JOIN adj z ON z.a = t JOIN deg ON node = z.b JOIN w2 USING (h) WHERE w2.y = z.b GROUP BY 1, 2)"
@@ -85,13 +96,13 @@ _L3 = "w2 AS (SELECT h, y.b AS y, sum(1.0::DOUBLE / sqrt(d)) AS w FROM (SELECT D
 
 @query(with_kg(f"{_G}, {_L3} SELECT h AS head, t AS tail, round(coalesce(s, 0), 6) AS l3 FROM pairs LEFT JOIN l3 USING (h, t)"))
 def structural_l3(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    train, pairs = _graph(_edges(spark, d, scope), scope)
-    return S.l3(pairs, symmetric(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("l3", 6).alias("l3"))
+    _, pairs = _graph(spark, d, scope)
+    return S.l3(pairs, _adjacency(spark, d, scope)).select(F.col("h").alias("head"), F.col("t").alias("tail"), F.round("l3", 6).alias("l3"))
 
 
 @query(with_kg(f"{_G}, dm AS (SELECT n, count(*) AS k FROM (SELECT head_id AS n FROM g UNION ALL SELECT tail_id FROM g) GROUP BY 1) SELECT h AS head, t AS tail, coalesce(k, 0) AS score FROM pairs LEFT JOIN dm ON n = t"))
 def popularity(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    train, pairs = _graph(_edges(spark, d, scope), scope)
+    train, pairs = _graph(spark, d, scope)
     return S.popularity(pairs, degrees(train)).select(F.col("h").alias("head"), F.col("t").alias("tail"), "score")
 
 
@@ -100,7 +111,7 @@ _RND = "CAST(('0x' || substr(md5('42|' || h || '|' || t), 1, 8)) AS BIGINT) / 42
 
 @query(with_kg(f"{_G} SELECT h AS head, t AS tail, {_RND} AS score FROM pairs"))
 def random_floor(spark: SparkSession, d: str) -> DataFrame:
-    _, pairs = _graph(kg(spark, d))
+    _, pairs = _graph(spark, d)
     return S.random_scores(pairs).select(F.col("h").alias("head"), F.col("t").alias("tail"), "score")
 
 
@@ -114,8 +125,8 @@ def random_floor(spark: SparkSession, d: str) -> DataFrame:
 )
 def heuristic_viability(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
     """Share of a sample of 300 test pairs whose ends are in the graph and whose scores are above 0."""
-    train, pairs = _graph(_edges(spark, d, scope), scope)
-    adj = symmetric(train)
+    _, pairs = _graph(spark, d, scope)
+    adj = _adjacency(spark, d, scope)
     some = hash_rank(pairs, ["h", "t"]).filter("rk <= 300").select("h", "t")
     deg = S.with_degree(adj)
     inside = lambda c: deg.select(F.col("node").alias(c), F.lit(1.0).alias(f"in_{c}"))
@@ -134,30 +145,65 @@ _RANK = (
 )
 
 
-def _ranks(e: DataFrame, relations: list[str] | None = None, scope: str = "oracle") -> DataFrame:
-    """side, q, target, rank of the test pairs under RA."""
-    t = of(_folds(e, scope), "enriched_in", "depleted_in")
-    train, pairs = _graph(e, scope)
-    adj = symmetric(of(train, *relations) if relations else train)
-    if scope != "oracle":
-        scratch = Scratch(e.sparkSession, "ranks")
-        t, pairs, adj = scratch.put(t), scratch.put(pairs), scratch.put(adj)
-    known = t.select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct()
+def _ranks(spark: SparkSession, d: str, scope: str = "oracle", kind: str = "RA", relations: list[str] | None = None) -> DataFrame:
+    """side, q, target, rank of the test pairs under a light scorer: CN, RA, L3, popularity or random."""
+    train, pairs = _graph(spark, d, scope)
+    known = of(_folds(spark, d), "enriched_in", "depleted_in").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct()
+    adj = _adjacency(spark, d, scope, relations)
     out = None
     for side, q, c in (("tail", "h", "t"), ("head", "t", "h")):
         ask = pairs.select(F.col(q).alias("q"), F.col(c).alias("target"))
         k = known.select(F.col(q).alias("q"), F.col(c).alias("c"))
-        scores = S.row_scores(ask, adj, pool=None if scope == "oracle" else k)
-        if scope != "oracle":
-            scores = Scratch(e.sparkSession, "scores").put(scores)
-        ranks = S.filtered_ranks(ask, k, k.select("c").distinct(), scores).withColumn("side", F.lit(side))
+        pool = k.select("c").distinct()
+        if kind == "popularity":
+            ranks = S.node_ranks(ask, k, pool, degrees(train).select(F.col("node_id").alias("c"), F.col("degree_multi").alias("s")))
+        elif kind == "random":
+            ranks = S.random_ranks(ask, k, pool, side)
+        else:
+            scratch = Scratch(spark, "scores")
+            # ranks read the scores twice: free candidates and targets
+            ranks = S.filtered_ranks(ask, k, pool, scratch.put(S.row_scores(ask, adj, kind, pool)))
+        ranks = ranks.withColumn("side", F.lit(side))
         out = ranks if out is None else out.unionByName(ranks)
     return out.select("side", "q", "target", "rank")
 
 
 @query(with_kg(f"{_G}, {_RANK} SELECT side, q AS query, target, CAST(rank AS DOUBLE) AS rank FROM fr"))
 def filtered_rank(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    return _ranks(_edges(spark, d, scope), scope=scope).withColumnRenamed("q", "query")
+    return _ranks(spark, d, scope).withColumnRenamed("q", "query")
+
+
+LIGHT = ["CN", "RA", "L3", "popularity", "random"]
+_LIGHT = (
+    f"{_G}, {_RANK.split(' fr AS (')[0].rstrip().rstrip(',')}, hq AS (SELECT DISTINCT q FROM sides), w2 AS (SELECT q, y.b AS y, sum(1.0::DOUBLE / sqrt(d)) AS w FROM hq JOIN adj x ON x.a = q JOIN deg ON node = x.b JOIN adj y ON y.a = x.b GROUP BY 1, 2),"
+    " all_s AS (SELECT 'RA' AS scorer, q, c, s FROM sc UNION ALL SELECT 'CN', x.a, y.b, CAST(count(*) AS DOUBLE) FROM adj x JOIN adj y ON y.a = x.b WHERE x.a IN (FROM hq) GROUP BY 2, 3"
+    " UNION ALL SELECT 'L3', q, z.b, round(sum(w / sqrt(d)), 9) FROM w2 JOIN adj z ON z.a = y JOIN deg ON node = y GROUP BY 2, 3),"
+    " dm AS (SELECT n, CAST(count(*) AS DOUBLE) AS k FROM (SELECT head_id AS n FROM g UNION ALL SELECT tail_id FROM g) GROUP BY 1),"
+    " valued AS (SELECT scorer, cand.side, cand.q, cand.target, cand.c, coalesce(s, 0) AS s FROM cand CROSS JOIN (SELECT unnest(['CN', 'RA', 'L3']) AS scorer) LEFT JOIN all_s USING (scorer, q, c)"
+    " UNION ALL SELECT 'popularity', side, q, target, c, coalesce(k, 0) FROM cand LEFT JOIN dm ON n = c), aim AS (SELECT scorer, side, q, target, s AS ts FROM valued WHERE c = target),"
+    " lr AS (SELECT scorer, side, q, target, CAST(1.0 + count(*) FILTER (s > ts) + (count(*) FILTER (s = ts AND c <> target)) / 2.0 AS DOUBLE) AS rank FROM valued JOIN aim USING (scorer, side, q, target) GROUP BY 1, 2, 3, 4"
+    " UNION ALL SELECT 'random', side, q, target, 1.0 + floor(CAST(('0x' || substr(md5('42|' || side || '|' || q || '|' || target), 1, 8)) AS BIGINT) / 4294967296.0 * count(*)) FROM cand GROUP BY 2, 3, 4)"
+)
+
+
+def _light(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    out = None
+    for kind in LIGHT:
+        ranks = _ranks(spark, d, scope, kind).withColumn("scorer", F.lit(kind))
+        out = ranks if out is None else out.unionByName(ranks)
+    return out
+
+
+@query(with_kg(f"{_LIGHT} SELECT scorer, side, q AS query, target, rank FROM lr"))
+def light_ranks(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    """Filtered ranks of the test pairs, both sides, under every light scorer."""
+    return _light(spark, d, scope).withColumnRenamed("q", "query")
+
+
+@query(with_kg(f"{_G}, nd AS (SELECT DISTINCT a FROM adj) SELECT count(*) AS n, count(*) FILTER (h NOT IN (FROM nd) OR t NOT IN (FROM nd)) AS n_oov FROM pairs"))
+def oov_report(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    """Test pairs, and those with an end that the train graph does not have."""
+    return S.outside(_graph(spark, d, scope)[1], _adjacency(spark, d, scope))
 
 
 def _block_sql(src: str) -> str:
@@ -173,18 +219,18 @@ def _block_sql(src: str) -> str:
 
 @query(with_kg(f"{_G}, {_RANK}, {_block_sql('fr')}"))
 def rank_metrics(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    return M.rank_block(_ranks(_edges(spark, d, scope), scope=scope).withColumnRenamed("q", "group_id"))
+    return M.rank_block(_ranks(spark, d, scope).withColumnRenamed("q", "group_id"))
 
 
 _POSNEG = f"{_G}, neg AS (SELECT DISTINCT head_id AS h, tail_id AS t FROM kg WHERE relation = 'inconsistent_association' EXCEPT SELECT h, t FROM pairs), pn AS (SELECT h, t, TRUE AS positive FROM pairs UNION ALL SELECT h, t, FALSE FROM neg), sp AS (SELECT pn.*, round(coalesce((SELECT sum(1.0::DOUBLE / d) FROM adj x JOIN adj y ON y.a = x.b JOIN deg ON node = x.b WHERE x.a = pn.h AND y.b = pn.t), 0), 9) AS score FROM pn)"
 
 
-def _scored(e: DataFrame, scope: str = "oracle") -> DataFrame:
-    train, pairs = _graph(e, scope)
+def _scored(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    _, pairs = _graph(spark, d, scope)
     # the full graphs hold the inconsistent associations of train: only the others are negatives there
-    neg = of(e if scope == "oracle" else _folds(e, scope).filter("fold <> 'train'"), "inconsistent_association").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct().join(pairs, ["h", "t"], "left_anti")
+    neg = of(_folds(spark, d) if scope == "oracle" else _folds(spark, d).filter("fold <> 'train'"), "inconsistent_association").select(F.col("head_id").alias("h"), F.col("tail_id").alias("t")).distinct().join(pairs, ["h", "t"], "left_anti")
     every = pairs.withColumn("positive", F.lit(True)).unionByName(neg.withColumn("positive", F.lit(False)))
-    return every.join(S.resource_allocation(every, symmetric(train)), ["h", "t"]).select("h", "t", "positive", F.round("ra", 9).alias("score"))
+    return every.join(S.resource_allocation(every, _adjacency(spark, d, scope)), ["h", "t"]).select("h", "t", "positive", F.round("ra", 9).alias("score"))
 
 
 def _auc_sql(src: str, by: str = "") -> str:
@@ -201,16 +247,38 @@ def _auc_sql(src: str, by: str = "") -> str:
 
 @query(with_kg(f"{_POSNEG}, {_auc_sql('sp')} SELECT * FROM au"))
 def auc(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    return M.auc_block(_scored(_edges(spark, d, scope), scope))
+    return M.auc_block(_scored(spark, d, scope))
 
 
 _BOOT = "bv AS (SELECT row_number() OVER (ORDER BY md5('42|' || side || '|' || q || '|' || target)) AS rk, count(*) OVER () AS n, CAST(rank AS DOUBLE) AS rank FROM fr)"
-_DRAW = "dr AS (SELECT b, CAST(('0x' || substr(md5('42|' || b || '|' || rk), 1, 8)) AS BIGINT) % n + 1 AS rk FROM bv, (SELECT unnest(range(1, 51)) AS b))"
+_DRAW = "dr AS (SELECT b, CAST(('0x' || substr(md5('42|' || b || '|' || rk), 1, 8)) AS BIGINT) % n + 1 AS rk FROM bv, (SELECT unnest(range(1, 1001)) AS b))"
 
 
-@query(with_kg(f"{_G}, {_RANK}, {_BOOT}, {_DRAW}, pb AS (SELECT b, avg(1.0 / rank) AS m FROM dr JOIN bv USING (rk) GROUP BY 1) SELECT 'mrr' AS metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM pb"))
+@query(
+    with_kg(
+        f"{_G}, {_RANK}, {_BOOT}, {_DRAW}, pb AS (SELECT b, avg(1.0 / rank) AS mrr, avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hits_10 FROM dr JOIN bv USING (rk) GROUP BY 1)"
+        " SELECT 'mrr' AS metric, round(quantile_cont(mrr, 0.025), 6) AS lo, round(quantile_cont(mrr, 0.975), 6) AS hi FROM pb UNION ALL SELECT 'hits_10', round(quantile_cont(hits_10, 0.025), 6), round(quantile_cont(hits_10, 0.975), 6) FROM pb"
+    )
+)
 def bootstrap(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
-    return M.bootstrap(hash_rank(_ranks(_edges(spark, d, scope), scope=scope), ["side", "q", "target"]), 50)
+    return M.bootstrap(hash_rank(_ranks(spark, d, scope), ["side", "q", "target"]), stats=["mrr", "hits_10"])
+
+
+_DRAWN = (
+    "od AS (SELECT score, positive, row_number() OVER (PARTITION BY positive ORDER BY md5('42|' || h || '|' || t)) AS rk, count(*) OVER (PARTITION BY positive) AS n FROM sp),"
+    " dz AS (SELECT b, od.positive, CAST(('0x' || substr(md5('42|' || b || '|' || CAST(od.positive AS INTEGER) || '|' || rk), 1, 8)) AS BIGINT) % n + 1 AS rk FROM od, (SELECT unnest(range(1, 1001)) AS b)), kp AS (SELECT b, positive, score FROM dz JOIN od USING (positive, rk))"
+)
+
+
+@query(
+    with_kg(
+        f"{_POSNEG}, {_DRAWN}, {_auc_sql('kp', 'b')} SELECT 'auroc' AS metric, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi FROM au"
+        " UNION ALL SELECT 'auprc', round(quantile_cont(auprc, 0.025), 6), round(quantile_cont(auprc, 0.975), 6) FROM au"
+    )
+)
+def bootstrap_auc(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
+    """Intervals of AUROC and AUPRC, positives and negatives resampled by themselves."""
+    return M.bootstrap_auc(hash_rank(_scored(spark, d, scope), ["h", "t"], within=["positive"]))
 
 
 _RATIOS = [0.5, 1.0, 2.0, 5.0, 10.0]
@@ -223,7 +291,7 @@ _SWEEP = (
 @query(with_kg(f"{_SWEEP}, {_auc_sql('kp', 'ratio')} SELECT ratio, n_pos, n_neg, auprc, auroc FROM au WHERE n_pos >= 5"))
 def ratio_sweep(spark: SparkSession, d: str, scope: str = "oracle") -> DataFrame:
     """Metrics at fixed negatives per positive, both sides cut in hash order; at least 5 positives."""
-    ranked = hash_rank(_scored(_edges(spark, d, scope), scope), ["h", "t"], within=["positive"])
+    ranked = hash_rank(_scored(spark, d, scope), ["h", "t"], within=["positive"])
     n = F.max(F.when(F.col("positive"), F.col("n")))
     sizes = ranked.groupBy().agg(F.coalesce(n, F.lit(0)).alias("np"), F.coalesce(F.max(F.when(~F.col("positive"), F.col("n"))), F.lit(0)).alias("nn")).first()  # two numbers
     np_, nn = sizes["np"], sizes["nn"]
@@ -244,8 +312,7 @@ _ABL = (
 
 @query(with_kg(f"{_ABL} SELECT 'RA' AS scorer, round(f0.m, 6) AS mrr_only, round(f1.m, 6) AS mrr_bridge, round(f1.m - f0.m, 6) AS delta FROM f0, f1"))
 def ablation_delta(spark: SparkSession, d: str) -> DataFrame:
-    e = kg(spark, d)
-    return _delta(_ranks(e, ONLY), _ranks(e))
+    return _delta(_ranks(spark, d, relations=ONLY), _ranks(spark, d))
 
 
 def _delta(only: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -258,29 +325,46 @@ def _delta(only: DataFrame, bridge: DataFrame) -> DataFrame:
 @query(None)
 def ablation_delta_full(spark: SparkSession, d: str) -> DataFrame:
     """The graph of associations and AUX against the same with every bridge relation."""
-    e = _edges(spark, d, "bridges")
-    return _delta(_ranks(e, scope="aux"), _ranks(e, scope="bridges"))
+    return _delta(_ranks(spark, d, "aux"), _ranks(spark, d, "bridges"))
 
 
-for _f in (structural_cn, structural_ra, structural_l3, popularity, heuristic_viability, filtered_rank, rank_metrics, auc, bootstrap, ratio_sweep):
+for _f in (structural_cn, structural_ra, structural_l3, popularity, heuristic_viability, filtered_rank, light_ranks, rank_metrics, auc, bootstrap, bootstrap_auc, ratio_sweep):
     for _s in ("aux", "bridges"):
         QUERIES[f"{_f.__name__}_{_s}"] = partial(_f, scope=_s)
 
 
-_CELLS = "cells AS (SELECT s.setting, m.scorer FROM (SELECT unnest(['transductive', 'cold']) AS setting) s, (SELECT unnest(['RA', 'L3']) AS scorer) m)"
+# The job matrix: what every setting is expected to report.
+MATRIX = {"transductive": ["CN", "RA", "L3", "popularity"], "only": ["CN", "RA"]}
+_CELLS = "cells AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{m}')" for k, ms in MATRIX.items() for m in ms) + ") v(setting, scorer))"
 
 
 @query(
     with_kg(
-        f"{_G}, {_RANK}, {_CELLS}, have AS (SELECT 'transductive' AS setting, 'RA' AS scorer, round(avg(1.0 / CAST(rank AS DOUBLE)), 6) AS mrr FROM fr)"
-        " SELECT setting, scorer, mrr, CASE WHEN mrr IS NULL THEN 'missing' ELSE 'ok' END AS status FROM cells LEFT JOIN have USING (setting, scorer)"
+        f"{_ABL}, {_LIGHT[_LIGHT.index(' hq AS ('):].strip()}, {_CELLS}, have AS (SELECT 'transductive' AS setting, scorer, round(avg(1.0 / rank), 6) AS mrr FROM lr GROUP BY 2 UNION ALL SELECT 'only', 'RA', round(m, 6) FROM f0)"
+        " SELECT coalesce(c.setting, h.setting) AS setting, coalesce(c.scorer, h.scorer) AS scorer, mrr, CASE WHEN h.scorer IS NULL THEN 'missing' WHEN c.scorer IS NULL THEN 'extra' ELSE 'ok' END AS status FROM cells c FULL JOIN have h ON h.setting = c.setting AND h.scorer = c.scorer"
     )
 )
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    """Expected cells of a small job matrix against the results at hand."""
-    cells = spark.createDataFrame([(s, m) for s in ("transductive", "cold") for m in ("RA", "L3")], "setting string, scorer string")
-    have = _ranks(kg(spark, d)).agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr")).select(F.lit("transductive").alias("setting"), F.lit("RA").alias("scorer"), "mrr")
-    return cells.join(have, ["setting", "scorer"], "left").select("setting", "scorer", "mrr", F.when(F.col("mrr").isNull(), "missing").otherwise("ok").alias("status"))
+    """The cells of the job matrix against the results at hand: missing, extra or ok."""
+    cells = spark.createDataFrame([(k, m) for k, ms in MATRIX.items() for m in ms], "setting string, scorer string").withColumn("wanted", F.lit(True))
+    runs = _light(spark, d).withColumn("setting", F.lit("transductive")).unionByName(_ranks(spark, d, relations=ONLY).withColumns({"setting": F.lit("only"), "scorer": F.lit("RA")}))
+    have = runs.groupBy("setting", "scorer").agg(F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
+    status = F.when(F.col("mrr").isNull(), "missing").when(F.col("wanted").isNull(), "extra").otherwise("ok")
+    return cells.join(have, ["setting", "scorer"], "full").select("setting", "scorer", "mrr", status.alias("status"))
+
+
+@query(with_kg(f"{_LIGHT}, {_block_sql('(SELECT * FROM lr WHERE scorer = \'RA\')').rsplit(' SELECT side, level', 1)[0]} SELECT i.side, round(i.mrr - a.mrr, 4) AS mrr_gap, round(i.mean_rank - a.mean_rank, 4) AS mean_rank_gap FROM mi i JOIN ma a USING (side)"))
+def micro_macro_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Micro less macro mean per side under RA."""
+    g = M.gap(M.rank_block(_ranks(spark, d).withColumnRenamed("q", "group_id")))
+    return g.select("side", F.round("mrr_gap", 4).alias("mrr_gap"), F.round("mean_rank_gap", 4).alias("mean_rank_gap"))
+
+
+@query(with_kg(f"{_LIGHT}, per AS (SELECT scorer, side, avg(1.0 / rank) AS mrr FROM lr GROUP BY 1, 2) SELECT side, round(median(mrr), 6) AS median_mrr, count(*) AS n_models FROM per GROUP BY 1"))
+def median_over_models(spark: SparkSession, d: str) -> DataFrame:
+    """Median of the models' mean reciprocal ranks per side."""
+    per = _light(spark, d).groupBy("scorer", "side").agg(F.avg(1.0 / F.col("rank")).alias("mrr"))
+    return per.groupBy("side").agg(F.round(F.median("mrr"), 6).alias("median_mrr"), F.count("*").alias("n_models"))
 
 
 _V = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), tp AS (SELECT h.vec_id AS i, t.vec_id AS j, h.v AS h, r.v AS r, t.v AS t, len(h.v) // 2 AS n FROM e h JOIN e r ON r.vec_id = (h.vec_id + 1) % 100 JOIN e t ON t.vec_id = h.vec_id + 7)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators import splits as S
+from knotwork.operators.ranking import hash_rank
 from knotwork.operators.build import KEY
 from knotwork.plans.common import kg, with_kg
 
@@ -46,14 +47,14 @@ def transductive(e: DataFrame) -> DataFrame:
     return S.split_pairs(S.of(e, *ASSOCIATIONS))
 
 
-@query(with_kg(f"{TRANS} SELECT fold, relation, count(*) AS n, count(DISTINCT head_id || '|' || tail_id) AS n_pairs FROM tr GROUP BY 1, 2"))
+@query(with_kg(f"{TRANS} SELECT head_id, head_type, relation, tail_id, tail_type, fold FROM tr"))
 def split_transductive(spark: SparkSession, d: str) -> DataFrame:
-    return transductive(kg(spark, d)).groupBy("fold", "relation").agg(F.count("*").alias("n"), F.countDistinct("head_id", "tail_id").alias("n_pairs"))
+    return transductive(kg(spark, d)).select(*KEY, "fold")
 
 
-@query(with_kg(f"{ranked('r', "SELECT * FROM kg WHERE relation = 'can_utilize'", 'head_id', 'head_type', 'relation', 'tail_id', 'tail_type')} SELECT {fold_sql(0.8, 0.1)} AS fold, count(*) AS n FROM r GROUP BY 1"))
+@query(with_kg(f"{ranked('r', "SELECT * FROM kg WHERE relation = 'can_utilize'", 'head_id', 'head_type', 'relation', 'tail_id', 'tail_type')} SELECT head_id, head_type, relation, tail_id, tail_type, {fold_sql(0.8, 0.1)} AS fold FROM r"))
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
-    return S.split_rows(S.of(kg(spark, d), "can_utilize"), KEY).groupBy("fold").agg(F.count("*").alias("n"))
+    return S.split_rows(S.of(kg(spark, d), "can_utilize"), KEY).select(*KEY, "fold")
 
 
 COLD = f"{ranked('cm', "SELECT DISTINCT head_id FROM kg WHERE relation IN ('enriched_in', 'depleted_in')", 'head_id')}, cold AS (SELECT head_id, {out_sql(0.05, 0.05)} AS fold FROM cm)"
@@ -63,18 +64,11 @@ def cold_microbes(e: DataFrame) -> DataFrame:
     return S.hold_out(S.of(e, "enriched_in", "depleted_in"), "head_id", 0.05, 0.05)
 
 
-@query(
-    with_kg(
-        f"{COLD} SELECT fold, count(DISTINCT cold.head_id) AS n_entities, count(*) FILTER (relation IN ('enriched_in', 'depleted_in')) AS n_edges, count(*) FILTER (relation = 'inconsistent_association') AS n_hardneg"
-        " FROM cold JOIN kg USING (head_id) WHERE relation IN ('enriched_in', 'depleted_in', 'inconsistent_association') GROUP BY 1"
-    )
-)
+@query(with_kg(f"{COLD} SELECT kg.head_id, relation, tail_id, fold FROM cold JOIN kg USING (head_id) WHERE relation IN ('enriched_in', 'depleted_in', 'inconsistent_association')"))
 def cold_entity(spark: SparkSession, d: str) -> DataFrame:
+    """The associations by the fold of their microbe; inconsistent ones are its hard negatives."""
     e = kg(spark, d)
-    return (
-        S.of(e, *ASSOCIATIONS).join(cold_microbes(e), "head_id").groupBy("fold")
-        .agg(F.countDistinct("head_id").alias("n_entities"), F.count_if(F.col("relation") != "inconsistent_association").alias("n_edges"), F.count_if(F.col("relation") == "inconsistent_association").alias("n_hardneg"))
-    )
+    return S.of(e, *ASSOCIATIONS).join(cold_microbes(e), "head_id").select("head_id", "relation", "tail_id", "fold")
 
 
 COLD_D = f"{ranked('cd', "SELECT DISTINCT tail_id FROM kg WHERE relation IN ('enriched_in', 'depleted_in') AND starts_with(tail_id, 'D') AND tail_id IN (SELECT head_id FROM kg WHERE relation = 'is_a')", 'tail_id')}, coldd AS (SELECT tail_id, {out_sql(0.05, 0.05)} AS fold FROM cd)"
@@ -86,10 +80,10 @@ def cold_diseases(e: DataFrame) -> DataFrame:
     return S.hold_out(pool, "tail_id", 0.05, 0.05)
 
 
-@query(with_kg(f"{COLD_D} SELECT fold, count(DISTINCT tail_id) AS n_entities, count(*) AS n_edges FROM coldd JOIN kg USING (tail_id) WHERE relation IN ('enriched_in', 'depleted_in') GROUP BY 1"))
+@query(with_kg(f"{COLD_D} SELECT head_id, relation, kg.tail_id, fold FROM coldd JOIN kg USING (tail_id) WHERE relation IN ('enriched_in', 'depleted_in')"))
 def cold_disease(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return S.of(e, "enriched_in", "depleted_in").join(cold_diseases(e), "tail_id").groupBy("fold").agg(F.countDistinct("tail_id").alias("n_entities"), F.count("*").alias("n_edges"))
+    return S.of(e, "enriched_in", "depleted_in").join(cold_diseases(e), "tail_id").select("head_id", "relation", "tail_id", "fold")
 
 
 MEDIATORS = f"{ranked('md', "SELECT head_id FROM kg WHERE relation = 'can_utilize' INTERSECT SELECT head_id FROM kg WHERE relation IN ('enriched_in', 'depleted_in')", 'head_id')}, med AS (SELECT head_id, {out_sql(0.2, 0.1)} AS fold FROM md)"
@@ -100,42 +94,36 @@ def mediators(e: DataFrame) -> DataFrame:
     return S.hold_out(pool, "head_id", 0.2, 0.1)
 
 
-@query(with_kg(f"{MEDIATORS} SELECT fold, count(DISTINCT head_id) AS n_entities, count(*) FILTER (fold <> 'train') AS n_removed FROM med JOIN kg USING (head_id) WHERE relation = 'can_utilize' GROUP BY 1"))
+@query(with_kg(f"{MEDIATORS} SELECT kg.head_id, tail_id, fold, fold <> 'train' AS removed FROM med JOIN kg USING (head_id) WHERE relation = 'can_utilize'"))
 def rel_zero_shot(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return S.of(e, "can_utilize").join(mediators(e), "head_id").groupBy("fold").agg(F.countDistinct("head_id").alias("n_entities"), F.count_if(F.col("fold") != "train").alias("n_removed"))
+    return S.of(e, "can_utilize").join(mediators(e), "head_id").select("head_id", "tail_id", "fold", (F.col("fold") != "train").alias("removed"))
 
 
 _SCRUBBED = "u AS (SELECT DISTINCT head_id, tail_id FROM kg WHERE relation = 'utilizes'), c AS (SELECT kg.*, (u.head_id IS NOT NULL) AS hit FROM kg LEFT JOIN u USING (head_id, tail_id) WHERE relation = 'can_utilize')"
 
 
-@query(with_kg(f"{_SCRUBBED} SELECT 'all' AS part, count(*) FILTER (NOT hit) AS n_train, count(*) FILTER (hit) AS n_scrubbed, (SELECT count(*) FROM kg WHERE relation = 'utilizes') AS n_test FROM c"))
+@query(with_kg(f"{_SCRUBBED} SELECT CASE WHEN hit THEN 'scrubbed' ELSE 'train' END AS part, head_id, tail_id FROM c UNION ALL SELECT 'test', head_id, tail_id FROM kg WHERE relation = 'utilizes'"))
 def zero_shot(spark: SparkSession, d: str) -> DataFrame:
+    """Capacity edges to train on, those scrubbed because the real edge is known, and the real edges to test on."""
     e = kg(spark, d)
     capacity, real = S.of(e, "can_utilize"), S.of(e, "utilizes")
-    tagged = S.without_pairs(capacity, real).select(F.lit(1).alias("train"), F.lit(0).alias("scrubbed"), F.lit(0).alias("test"))
-    hit = capacity.join(real.select("head_id", "tail_id").distinct(), ["head_id", "tail_id"], "left_semi").select(F.lit(0).alias("train"), F.lit(1).alias("scrubbed"), F.lit(0).alias("test"))
-    counted = tagged.unionByName(hit).unionByName(real.select(F.lit(0).alias("train"), F.lit(0).alias("scrubbed"), F.lit(1).alias("test")))
-    return counted.groupBy(F.lit("all").alias("part")).agg(*[F.sum(c).alias(f"n_{c}") for c in ("train", "scrubbed", "test")])
+    hit = capacity.join(real.select("head_id", "tail_id").distinct(), ["head_id", "tail_id"], "left_semi")
+    tag = lambda df, part: df.select(F.lit(part).alias("part"), "head_id", "tail_id")
+    return tag(S.without_pairs(capacity, real), "train").unionByName(tag(hit, "scrubbed")).unionByName(tag(real, "test"))
 
 
 @query(
     with_kg(
-        f"{_SCRUBBED}, t AS (SELECT (SELECT count(*) FROM kg WHERE relation = 'utilizes') AS total, (SELECT count(*) FROM c WHERE NOT hit) AS base)"
-        " SELECT CAST(k AS INTEGER) AS n_inject, base + k AS n_train, total - k AS n_test FROM t, (SELECT unnest([50, 100, 500]) AS k) WHERE k <= total"
+        f"{ranked('ru', "SELECT * FROM kg WHERE relation = 'utilizes'", 'head_id', 'head_type', 'relation', 'tail_id', 'tail_type')}"
+        " SELECT CAST(k AS INTEGER) AS n_inject, CASE WHEN rk <= k THEN 'inject' ELSE 'test' END AS part, head_id, tail_id FROM ru, (SELECT unnest([50, 100, 500]) AS k) WHERE k <= n"
     )
 )
 def few_shot(spark: SparkSession, d: str) -> DataFrame:
-    e = kg(spark, d)
-    base = S.without_pairs(S.of(e, "can_utilize"), S.of(e, "utilizes")).select(F.lit(0).alias("rk"), F.lit(1).alias("base"))
-    from knotwork.operators.ranking import hash_rank
-
-    real = hash_rank(S.of(e, "utilizes"), KEY).select("rk", F.lit(0).alias("base"))
-    counts = base.unionByName(real)
-    levels = [50, 100, 500]
-    per = counts.agg(F.sum("base").alias("base"), *[F.count_if((F.col("base") == 0) & (F.col("rk") <= k)).alias(f"in{k}") for k in levels], F.count_if(F.col("base") == 0).alias("total"))
-    rows = F.array(*[F.struct(F.lit(k).alias("n_inject"), F.col(f"in{k}").alias("k")) for k in levels])
-    return per.select("base", "total", F.explode(rows).alias("r")).filter("r.k = r.n_inject").select("r.n_inject", (F.col("base") + F.col("r.k")).alias("n_train"), (F.col("total") - F.col("r.k")).alias("n_test"))
+    """Real edges to inject into training and to keep for the test, per level that the table can give."""
+    real = hash_rank(S.of(kg(spark, d), "utilizes"), KEY)
+    levels = real.withColumn("n_inject", F.explode(F.array(*[F.lit(k) for k in (50, 100, 500)]))).filter("n_inject <= n")
+    return levels.select("n_inject", F.when(F.col("rk") <= F.col("n_inject"), "inject").otherwise("test").alias("part"), "head_id", "tail_id")
 
 
 _H = "md5('42|' || head_id || '|' || tail_id)"
@@ -144,30 +132,29 @@ _H = "md5('42|' || head_id || '|' || tail_id)"
 @query(
     with_kg(
         f"c AS (SELECT head_id, tail_id, {_H} AS h, min({_H}) OVER (PARTITION BY head_id) AS m, CAST(('0x' || substr({_H}, 1, 8)) AS BIGINT) / 4294967296.0 AS x FROM kg WHERE relation = 'can_utilize'),"
-        " f AS (SELECT head_id, CASE WHEN h = m THEN 'train' WHEN x < 0.1 THEN 'valid' WHEN x < 0.2 THEN 'test' ELSE 'train' END AS fold FROM c)"
-        " SELECT fold, count(*) AS n, count(DISTINCT head_id) AS n_heads FROM f GROUP BY 1"
+        " f AS (SELECT head_id, tail_id, CASE WHEN h = m THEN 'train' WHEN x < 0.1 THEN 'valid' WHEN x < 0.2 THEN 'test' ELSE 'train' END AS fold FROM c)"
+        " SELECT head_id, tail_id, fold FROM f"
     )
 )
 def holdout_keep1(spark: SparkSession, d: str) -> DataFrame:
-    f = S.keep_one(S.of(kg(spark, d), "can_utilize"), "head_id", ["head_id", "tail_id"])
-    return f.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("head_id").alias("n_heads"))
+    return S.keep_one(S.of(kg(spark, d), "can_utilize"), "head_id", ["head_id", "tail_id"]).select("head_id", "tail_id", "fold")
 
 
-@query(with_kg(f"{TRANS}, rem AS (SELECT DISTINCT head_id, relation, tail_id FROM tr WHERE fold <> 'train') SELECT relation, count(*) AS n FROM kg WHERE NOT EXISTS (SELECT 1 FROM rem WHERE rem.head_id = kg.head_id AND rem.relation = kg.relation AND rem.tail_id = kg.tail_id) GROUP BY 1"))
+@query(with_kg(f"{TRANS}, rem AS (SELECT DISTINCT head_id, relation, tail_id FROM tr WHERE fold <> 'train') SELECT head_id, head_type, relation, tail_id, tail_type FROM kg WHERE NOT EXISTS (SELECT 1 FROM rem WHERE rem.head_id = kg.head_id AND rem.relation = kg.relation AND rem.tail_id = kg.tail_id)"))
 def gtrain(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return S.without_triples(e, transductive(e).filter("fold <> 'train'")).groupBy("relation").agg(F.count("*").alias("n"))
+    return S.without_triples(e, transductive(e).filter("fold <> 'train'")).select(*KEY)
 
 
 @query(
     with_kg(
         f"{TRANS}, held AS (SELECT DISTINCT least(head_id, tail_id) AS a, greatest(head_id, tail_id) AS b FROM tr WHERE fold <> 'train')"
-        " SELECT relation, count(*) AS n_removed FROM kg JOIN held ON a = least(head_id, tail_id) AND b = greatest(head_id, tail_id) GROUP BY 1"
+        " SELECT head_id, head_type, relation, tail_id, tail_type FROM kg JOIN held ON a = least(head_id, tail_id) AND b = greatest(head_id, tail_id)"
     )
 )
 def scrub_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
-    return S.between(e, transductive(e).filter("fold <> 'train'")).groupBy("relation").agg(F.count("*").alias("n_removed"))
+    return S.between(e, transductive(e).filter("fold <> 'train'")).select(*KEY)
 
 
 POOL = "pool AS (SELECT DISTINCT head_id, tail_id FROM kg WHERE relation = 'associated_with_disease' AND head_type = 'metabolite' AND NOT EXISTS (SELECT 1 FROM kg k WHERE k.relation = 'treats_disease' AND k.head_id = kg.head_id AND k.tail_id = kg.tail_id))"
@@ -182,10 +169,18 @@ def hardneg_pool(spark: SparkSession, d: str) -> DataFrame:
     return pool(kg(spark, d))
 
 
-@query(with_kg(f"{POOL}, {ranked('rp', 'SELECT * FROM pool', 'head_id', 'tail_id')} SELECT head_id, tail_id FROM rp WHERE rk <= 200"))
+@query(
+    with_kg(
+        f"{TRANS}, {POOL}, {ranked('rp', 'SELECT * FROM pool', 'head_id', 'tail_id')}, pos AS (SELECT count(*) AS n FROM (SELECT DISTINCT head_id, tail_id FROM tr WHERE fold = 'test' AND relation IN ('enriched_in', 'depleted_in')))"
+        " SELECT CAST(k AS INTEGER) AS ratio, head_id, tail_id FROM rp, pos, (SELECT unnest([1, 5, 10]) AS k) WHERE rk <= k * pos.n"
+    )
+)
 def neg_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Ten negatives for each of twenty positives."""
-    return S.sample(pool(kg(spark, d)), ["head_id", "tail_id"], 10 * 20)
+    """Hard negatives at k for each positive of the test fold, at most the pool, for k of 1, 5 and 10."""
+    e = kg(spark, d)
+    n = S.of(transductive(e).filter("fold = 'test'"), "enriched_in", "depleted_in").select("head_id", "tail_id").distinct().agg(F.count("*")).scalar()
+    ordered = hash_rank(pool(e), ["head_id", "tail_id"]).withColumn("ratio", F.explode(F.array(*[F.lit(k) for k in (1, 5, 10)])))
+    return ordered.filter(F.col("rk") <= F.col("ratio") * n).select("ratio", "head_id", "tail_id")
 
 
 _NO = "CASE relation " + " ".join(f"WHEN 'belongs_to_{r}' THEN {i}" for i, r in enumerate(S.RANKS)) + " END"
@@ -230,3 +225,34 @@ def capacity_layer(spark: SparkSession, d: str) -> DataFrame:
     e = kg(spark, d)
     heads = lambda r: S.of(e, r).select(F.col("head_id").alias("microbe"))
     return S.capacity_layers(heads("utilizes"), heads("can_utilize"), S.lineage(e))
+
+
+@query(
+    with_kg(
+        f"{COLD}, {proximity_sql("SELECT head_id AS microbe FROM cold WHERE fold = 'test'", "SELECT head_id AS microbe FROM cold WHERE fold = 'train'")} SELECT nearest_shared_rank, count(*) AS n FROM prox GROUP BY 1"
+    )
+)
+def layer_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many cold microbes there are of each nearest shared rank."""
+    return tax_proximity(spark, d).groupBy("nearest_shared_rank").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_kg(
+        f"{ranked('gd', "SELECT DISTINCT head_id, tail_id FROM kg WHERE relation = 'therapeutic_target_for'", 'head_id', 'tail_id')} SELECT head_id, tail_id, CASE WHEN rk <= round_even(n * 0.5, 0) THEN 'valid' ELSE 'test' END AS fold FROM gd"
+    )
+)
+def external_halves(spark: SparkSession, d: str) -> DataFrame:
+    """An outside list of pairs in two halves; no list gives no rows."""
+    return S.halves(S.of(kg(spark, d), "therapeutic_target_for"), ["head_id", "tail_id"])
+
+
+@query(
+    with_kg(
+        f"{TRANS}, {ranked('vt', "SELECT DISTINCT head_id, relation, tail_id FROM tr WHERE fold = 'train'", 'head_id', 'relation', 'tail_id')} SELECT head_id, relation, tail_id FROM vt WHERE rk <= least(5000, greatest(1, CAST(floor(n * 0.02) AS BIGINT)))"
+    )
+)
+def valid_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Validation rows where no file gives them: a slice of train in hash order, 2 % and at most 5,000."""
+    train = transductive(kg(spark, d)).filter("fold = 'train'").select("head_id", "relation", "tail_id").distinct()
+    return S.valid_or_slice(None, train, ["head_id", "relation", "tail_id"])

@@ -66,11 +66,13 @@ class Scratch:
         self._paths: dict[int, str] = {}
         _LEFT[self.base] = spark
 
-    def put(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``by`` splits the table into folders by that column, so that a filter on it is a choice of folders."""
         self._n += 1
         path = f"{self.base}/{self._n}"
         schema = df.schema
-        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+        writer = (df.hint("rebalance", by).write.partitionBy(by) if by else df.write).option("compression", "zstd")
+        writer.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self._paths[id(out)] = path
         out._knotwork_path = path

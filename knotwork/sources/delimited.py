@@ -84,8 +84,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def markdown(df: DataFrame, limit: int = 1_000) -> str:
-    """A small table (a report of at most ``limit`` rows) as Markdown; ``-`` for null."""
-    rows = df.limit(limit).collect()
+    """A small table (a report of at most ``limit`` rows, more are an error) as Markdown; ``-`` for null."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows are no report")
     cell = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]])
 
@@ -93,3 +95,19 @@ def markdown(df: DataFrame, limit: int = 1_000) -> str:
 def report(sections: dict[str, dict]) -> str:
     """A text report of sectioned counts."""
     return "\n".join(line for name, counts in sections.items() for line in [f"[{name}]", *[f"{k}\t{v if isinstance(v, str) else json.dumps(v)}" for k, v in counts.items()], ""])
+
+
+def write_raw(df: DataFrame, path: str) -> None:
+    """The rows behind a report, compressed, for later analysis."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
+    """What ``write_raw`` wrote, by the first of several column names each; rows with a NaN or null in a number are left out."""
+    df = spark.read.parquet(path)
+    found = {k: next((n for n in names if n in df.columns), None) for k, names in aliases.items()}
+    out = df.select(*[F.col(n).alias(k) for k, n in found.items() if n])
+    for f in out.schema.fields:
+        if f.dataType in (T.DoubleType(), T.FloatType()):
+            out = out.filter(F.col(f.name).isNotNull() & ~F.isnan(f.name))
+    return out
