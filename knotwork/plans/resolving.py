@@ -48,14 +48,11 @@ def id_normalize(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("WITH l AS (SELECT doc_id AS line_id, string_split(split_part(coalesce(text, ''), chr(10), 1), ' ') AS f FROM documents WHERE NOT starts_with(coalesce(text, ''), '#')) SELECT line_id, f[1] AS f1, f[3] AS f3 FROM l WHERE len(f) >= 5")
+@query(
+    "WITH t AS (SELECT doc_id AS line_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT line_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM t)"
+    " SELECT line_id, CAST(line_no AS INTEGER) AS line_no, string_split(line, ' ')[1] AS f1, string_split(line, ' ')[3] AS f3 FROM l WHERE NOT starts_with(line, '#') AND len(string_split(line, ' ')) >= 5"
+)
 def line_parse(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("line"))
-    return parse_lines(first, "line", " ", 5).select("line_id", F.col("fields")[0].alias("f1"), F.col("fields")[2].alias("f3"))
-
-
-@query(None)
-def line_parse_all(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every document, numbered from 0."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     return parse_lines(lines, "line", " ", 5).select("line_id", "line_no", F.col("fields")[0].alias("f1"), F.col("fields")[2].alias("f3"))

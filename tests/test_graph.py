@@ -135,8 +135,17 @@ def test_clusters(spark):
 def test_statistics(spark):
     p = spark.createDataFrame([(0.01,), (0.02,), (0.03,), (0.5,)], "p double")
     assert [round(r["fdr"], 4) for r in T.benjamini_hochberg(p, "p").orderBy("p").collect()] == [0.04, 0.04, 0.04, 0.5]
-    z = spark.createDataFrame([(1.959964,), (0.0,)], "z double").select(F.round(T.normal_p(F.col("z")), 4)).collect()
-    assert [r[0] for r in z] == [0.05, 1.0]
+    z = spark.createDataFrame([(1.959964, 1e6), (0.0, 3.0), (12.706205, 1.0), (-2.228139, 10.0), (2.0, 7.5)], "z double, df double").select(F.round(T.student_p(F.col("z"), F.col("df")), 4)).collect()
+    assert [r[0] for r in z] == [0.05, 1.0, 0.05, 0.05, 0.0829]
+    import random
+
+    ps = [round(random.Random(i).random() ** 2, 2) for i in range(200)]
+    n, want = len(ps), {}
+    for q in ps:
+        want[q] = min(1.0, min(x * n / sum(y <= x for y in ps) for x in ps if x >= q))
+    got = {r["p"]: r["fdr"] for r in T.benjamini_hochberg(spark.createDataFrame([(x,) for x in ps], "p double"), "p").collect()}
+    assert all(abs(got[q] - want[q]) < 1e-9 for q in ps)
+    assert T.benjamini_hochberg(spark.createDataFrame([(None,)], "p double"), "p").first()["fdr"] is None
     rows = [(i, u, v) for i, vs in enumerate(([1, 2, 3, 4], [2, 4, 6, 9], [4, 3, 2, 1])) for u, v in enumerate(vs)]
     got = {(r["a"], r["b"]): round(r["spearman_r"], 6) for r in T.spearman(spark.createDataFrame(rows, "i int, u int, v int"), "i", "u", "v").collect()}
     assert got == {(0, 1): 1.0, (0, 2): -1.0, (1, 2): -1.0}

@@ -50,6 +50,8 @@ def test_against_brute_force(spark, seed, n, rows, hot):
     df = spark.createDataFrame(list(parent.items()), "node string, parent string")
     got = {r["node"]: (r["root"], r["depth"], list(r["path"])) for r in hierarchy(df, fragment_rows=rows, hot=hot).collect()}
     assert got == brute(parent)
+    short = {r["node"]: (r["root"], r["depth"]) for r in hierarchy(df, fragment_rows=rows, hot=hot, paths=False).collect()}
+    assert short == {k: v[:2] for k, v in got.items()}
 
 
 def test_ring_of_fragments_and_self_parent(spark):
@@ -64,7 +66,7 @@ def test_nulls_repeats_trees_and_empty(spark):
     df = spark.createDataFrame(rows, "tree string, node string, parent string").selectExpr("*", "1 as root", "2 as depth", "3 as path")
     got = sorted((r["tree"], r["node"], r["root"], r["depth"]) for r in hierarchy(df, tree="tree").collect())
     assert got == [("", "a", "d", 1), ("x", "a", "b", 1), ("y", "a", "c", 1)]
-    assert hierarchy(df.limit(0)).count() == 0
+    assert hierarchy(df.limit(0)).count() == 0 and hierarchy(df.limit(0), paths=False).count() == 0
 
 
 def test_descendants(spark):

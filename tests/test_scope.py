@@ -121,5 +121,5 @@ def test_descendants_below_and_on_circles(spark, tmp_path):
 def test_every_line_is_parsed(spark, tmp_path):
     texts = [(1, "# note\na b c d e\nshort\nf g h i j"), (2, None), (3, "k l m n o")]
     spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in catalog.queries()["line_parse_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalog.queries()["line_parse"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, "a", "c"), (1, 3, "f", "h"), (3, 0, "k", "m")]

@@ -1,6 +1,8 @@
 import datetime
 import gzip
 
+import pytest
+
 from knotwork.sources import delimited as D
 from knotwork.streaming import edge_stream, merged_counts
 
@@ -48,3 +50,13 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted((r["relation"], r["n"]) for r in merged_counts(raw).collect())
     assert sorted((r["relation"], r["n"]) for r in spark.table("counts").collect()) == want == [("is_a", 5), ("produces", 5)]
+
+
+def test_raw_rows_and_small_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("b", float("nan")), ("c", None)], "pair string, scores double")
+    D.write_raw(df, f"file://{tmp_path}/raw")
+    got = D.read_raw(spark, f"file://{tmp_path}/raw", {"score": ["score", "scores"], "pair": ["pair"], "label": ["y", "label"]})
+    assert got.columns == ["score", "pair"] and [tuple(r) for r in got.collect()] == [(1.0, "a")]
+    assert "| b |" in D.markdown(df.select("pair"))
+    with pytest.raises(ValueError):
+        D.markdown(df, 2)
