@@ -81,6 +81,22 @@ def p2_contained(spark: SparkSession, d: str) -> DataFrame:
     return held.join(hits, ["eval_x", "eval_y"]).select("edge_id", F.hex("eval_x").alias("class_id"), "containment", "train_records")
 
 
+#: one post in so many is held out
+POSTS_HELD = 50
+
+
+def p2_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out posts (every 50th doc_id) that another post contains by five-word grams to 0.8 or more: class, best containment, posts that contain it."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    posts = table(spark, d, "documents").select("doc_id", words.alias("words"), F.when(F.col("doc_id") % POSTS_HELD == 0, "test").otherwise("train").alias("split"))
+    scratch = Scratch(spark, "posts")
+    links, members = contained(posts, "doc_id", "words", "split", scratch=scratch)
+    per = members.filter("split = 'train'").groupBy("class_x", "class_y").agg(F.count("*").alias("n"))
+    hits = links.join(per.select(F.col("class_x").alias("train_x"), F.col("class_y").alias("train_y"), "n"), ["train_x", "train_y"]).groupBy("eval_x", "eval_y").agg(F.max("containment").alias("containment"), F.sum("n").alias("train_posts"))
+    held = members.filter("split = 'test'").select(F.col("record_id").alias("doc_id"), F.col("class_x").alias("eval_x"), F.col("class_y").alias("eval_y"))
+    return held.join(hits, ["eval_x", "eval_y"]).select("doc_id", F.hex("eval_x").alias("class_id"), F.round("containment", 6).alias("containment"), "train_posts")
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p4")
     edges = table(spark, d, "final_kg_edges").select("edge_id", *_ENDS)
@@ -98,6 +114,15 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign(_p4(spark, d), table(spark, d, "split_plan")).select(F.col("record_id").alias("edge_id"), "group_id", "split_name")
 
 
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Records of every split, and groups that are torn apart (none)."""
+    out = p4_splits(spark, d)
+    torn = out.groupBy("group_id").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"))
+    per = out.groupBy("split_name").agg(F.count("*").alias("records"))
+    cut = torn.filter("a <> b").select(F.col("a").alias("split_name")).groupBy("split_name").agg(F.count("*").alias("torn"))
+    return per.join(cut, "split_name", "left").select("split_name", "records", F.coalesce("torn", F.lit(0)).alias("torn"))
+
+
 # Evidence classes, the strongest first.
 EVIDENCE_CLASSES = ["experimental", "curated_database", "cohort_statistical", "computational", "ontology"]
 # Confidences given as words.
@@ -197,6 +222,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(meant, F.col("original_id") == F.col("name"), "left").select("row_id", F.coalesce("id", F.lit(NONE)).alias("ncbi_taxon_id"))
 
 
+def p3_known(spark: SparkSession, d: str) -> DataFrame:
+    """The taxon found for the names that come with one, which the operator does not see: a check against labels."""
+    rows = table(spark, d, "microbe_name_fallback").filter(~is_missing(F.col("ncbi_taxon_id")) & ~is_missing(F.col("original_id"))).select("row_id", "original_id")
+    meant = resolve(rows, "original_id", table(spark, d, "taxon_names"), "ncbi_taxon_id", "name_txt")
+    return rows.join(meant, F.col("original_id") == F.col("name"), "left").select("row_id", F.coalesce("id", F.lit(NONE)).alias("ncbi_taxon_id"))
+
+
 def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The typed names that mean no entry, with the number of rows."""
     rows = table(spark, d, "microbe_name_fallback").filter(is_missing(F.col("ncbi_taxon_id")))
@@ -216,6 +248,11 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").join(coded.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id").select("doc_id", "n_tokens", (F.col("was") == F.col("text")).alias("same"))
 
 
+def p7_lossless(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every post comes back from its token ids, and whether it has any."""
+    return p7_roundtrip(spark, d).select("doc_id", "same", (F.col("n_tokens") > 0).alias("has_tokens"))
+
+
 #: tokens of a training sequence
 SEQUENCE = 2_048
 
@@ -229,9 +266,23 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences, tokens and share of room used."""
-    used = p8_packed(spark, d).filter("sequence_id IS NOT NULL").groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"))
-    return used.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.round(F.sum("n") / (F.count("*") * SEQUENCE), 4).alias("fill"))
+    """Sequences, tokens, share of room used, and share of the pieces that sum of squares placed (the rest by falling size)."""
+    sizes = encode(table(spark, d, "documents"), "doc_id", "text", ids=False)
+    put = pack(sizes, "doc_id", "n_tokens", SEQUENCE).filter("window IS NOT NULL")
+    used = put.groupBy("window").agg(F.sum("size").alias("n"), F.count("*").alias("pieces"), F.count_if("again").alias("again"))
+    return used.agg(
+        F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.round(F.sum("n") / (F.count("*") * SEQUENCE), 4).alias("fill"), F.round(1 - F.sum("again") / F.sum("pieces"), 4).alias("by_squares")
+    )
+
+
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the sequences: posts, posts whose pieces are all there, sequences too full, posts divided without need, gaps or overlaps."""
+    put = p8_packed(spark, d)
+    docs = put.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    full = put.filter("sequence_id IS NOT NULL").groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("position") + F.col("n_tokens")).alias("end"), F.count("*").alias("k"), F.countDistinct("position").alias("at"))
+    a = docs.agg(F.count("*").alias("posts"), F.count_if(F.col("n") == F.col("end")).alias("whole"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= SEQUENCE)).alias("divided"))
+    b = full.agg(F.count_if(F.col("n") > SEQUENCE).alias("too_full"), F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("at"))).alias("gaps"))
+    return a.select("posts", "whole", "divided", b.select("too_full").scalar().alias("too_full"), b.select("gaps").scalar().alias("gaps"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -249,8 +300,8 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        p2_found, p2_by_source, p2_contained, p3_found, p3_unmatched, p4_found, p4_splits, p5_found, p5_fused, p6_found, p6_sizes,
-        p7_ids, p7_roundtrip, p8_packed, p8_fill, p9_found, p9_kept,
+        p2_found, p2_by_source, p2_contained, p2_posts, p3_found, p3_known, p3_unmatched, p4_found, p4_splits, p4_totals, p5_found, p5_fused, p6_found, p6_sizes,
+        p7_ids, p7_lossless, p7_roundtrip, p8_packed, p8_fill, p8_sound, p9_found, p9_kept,
     ]
 }
 SQL = sql.SQL

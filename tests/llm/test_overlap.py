@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from knotwork.llm import overlap
 from knotwork.llm.overlap import contained
 
 
@@ -21,7 +24,9 @@ def pairs(links, members):
     return out
 
 
-def test_contained_against_brute_force(spark):
+@pytest.mark.parametrize("salt", [50_000, 3])
+def test_contained_against_brute_force(spark, monkeypatch, salt):
+    monkeypatch.setattr(overlap, "GRAM_ROWS", salt)
     rng = random.Random(3)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))] for _ in range(30)]
     rows = []
