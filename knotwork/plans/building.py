@@ -102,14 +102,19 @@ def evidence_type(spark: SparkSession, d: str) -> DataFrame:
     return B.add_evidence_type(kg(spark, d)).groupBy("evidence_type").agg(F.count("*").alias("n"))
 
 
-_NAMES = "names AS (SELECT node_id, max(node_name) AS node_name FROM final_kg_nodes WHERE NOT " + missing_sql("node_name") + " GROUP BY 1)"
+_NAMES = (
+    f"named AS (SELECT node_id, node_name, 1 AS pr FROM final_kg_nodes WHERE NOT {missing_sql('node_name')} UNION ALL SELECT ncbi_taxon_id, name_txt, 2 FROM taxon_names WHERE name_class = 'scientific name' AND NOT {missing_sql('name_txt')}),"
+    " names AS (SELECT node_id, arg_max(node_name, (pr, node_name)) AS node_name FROM named GROUP BY 1)"
+)
 _DEFAULT = "CASE WHEN regexp_matches(e.node_id, '^(HGNC|UNMAPPED|VMH_MET):') THEN regexp_replace(e.node_id, '^[^:]*:', '') WHEN starts_with(e.node_id, 'VMH:') THEN replace(regexp_replace(e.node_id, '^[^:]*:', ''), '_', ' ') ELSE e.node_id END"
 _NODES = f"{_ENDS}, {_NAMES}, nodes AS (SELECT e.node_id, e.node_type, coalesce(min(n.node_name), min({_DEFAULT})) AS node_name, {sources_of('e.source')} AS source_databases FROM ends e LEFT JOIN names n ON n.node_id = e.node_id GROUP BY 1, 2)"
 
 
 def _nodes(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
-    names = table(spark, d, "final_kg_nodes").filter(~is_missing(F.col("node_name"))).select("node_id", "node_name", F.lit(1).alias("priority"))
-    return B.build_nodes(e, names)
+    """Names of the node table; the scientific name of a taxon goes before them."""
+    listed = table(spark, d, "final_kg_nodes").filter(~is_missing(F.col("node_name"))).select("node_id", "node_name", F.lit(1).alias("priority"))
+    taxa = table(spark, d, "taxon_names").filter((F.col("name_class") == "scientific name") & ~is_missing(F.col("name_txt")))
+    return B.build_nodes(e, listed.unionByName(taxa.select(F.col("ncbi_taxon_id").alias("node_id"), F.col("name_txt").alias("node_name"), F.lit(2).alias("priority"))))
 
 
 @query(with_kg(f"{_NODES} SELECT * FROM nodes"))
