@@ -98,8 +98,17 @@ _SHARED: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_table(spark: SparkSession, name: str, make: Callable[[Scratch], DataFrame]) -> DataFrame:
-    """A table that several operators need, written once per application and kept until it ends."""
+    """A table that several operators need, written once per application and kept until it ends.
+
+    ``make`` returns what ``Scratch.put`` gave.  If somebody has cleared the
+    shared folder meanwhile, the table is written again.
+    """
     key = (spark.sparkContext.applicationId, name)
-    if key not in _SHARED:
+    if key not in _SHARED or not _there(spark, f"{_SHARED[key]._knotwork_path}/_SUCCESS"):
         _SHARED[key] = make(Scratch(spark, "shared"))
     return _SHARED[key]
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
