@@ -24,3 +24,15 @@ def test_compounds_go_by_their_group(spark, monkeypatch, small):
     }
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert facts.canonical_facts(edges.limit(0), groups, {"edge_id": F.col("edge_id")}).count() == 0
+
+
+def test_one_lookup_gives_the_same_facts(spark, monkeypatch):
+    """No, one and two compound ends, ends without a group, the same compound at both ends."""
+    monkeypatch.setattr(facts, "SPREAD", 2)
+    more = [(7, "PUBCHEM:7", "metabolite", "is_a", "hmdb:hmdb0000001", "metabolite"), (8, "PUBCHEM:7", "metabolite", "is_a", "PUBCHEM:7", "metabolite"), (9, "CHEBI:5", "metabolite", "co_occurs_with", "NCBI_TAXON:4", "microbe"), (10, "PUBCHEM:7", "metabolite", "co_occurs_with", "CHEBI:9", "metabolite")]
+    edges = spark.createDataFrame(ROWS + more, "edge_id bigint, head_id string, head_type string, relation string, tail_id string, tail_type string")
+    groups = Scratch(spark, "t").put(spark.createDataFrame([("HMDB:HMDB0000001", "CHEBI:1"), ("PUBCHEM:7", "CHEBI:0")], "id string, group_id string"))
+    columns = ["edge_id", "relation_n", "head_n", "tail_n"]
+    want = sorted(map(tuple, facts.canonical_facts(edges, groups, {"edge_id": F.col("edge_id")}).select(columns).collect()))
+    assert sorted(map(tuple, facts.facts_looked_up_once(edges, groups, {"edge_id": F.col("edge_id")}).select(columns).collect())) == want
+    assert [r[2:] for r in want if r[0] in (7, 8)] == [("CHEBI:0", "CHEBI:1"), ("CHEBI:0", "CHEBI:0")]
